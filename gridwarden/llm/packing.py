@@ -20,54 +20,167 @@ from pyspark.sql import functions as F
 from .common import drop_stored, prepare, stored
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
-#: Cached token ids of space-separated chunks of text, per Python worker.
-CACHE_CHUNKS = 400_000
-#: Chunks longer than this are not kept in the cache.
-CACHE_CHARS = 40
+#: Space-separated chunks of text whose token ids a Python worker keeps: about 100 MB.
+CACHE_CHUNKS = 3_000_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+#: The byte-level pre-tokenizer's split, a fixed value of the public format.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class ChunkTable:
+    """Token ids by the 64-bit hash of a chunk: sorted keys, and where in a pool the ids of each key lie.
+
+    Recent keys wait in a small table, so that the large one is seldom merged. It holds at most CACHE_CHUNKS keys and
+    then starts anew.
+    """
+
+    def __init__(self):
+        self.parts = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)) for _ in range(2)]
+        self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, count) of sorted keys; a count of -1 for unknown ones."""
+        start, count = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for own, starts, counts in self.parts:
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[at] == keys
+                start[hit], count[hit] = starts[at[hit]], counts[at[hit]]
+        return start, count
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Keeps sorted new keys with their ids in a row; returns their starts."""
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        starts = self.filled + np.r_[0, np.cumsum(counts)[:-1]]
+        self.filled += len(ids)
+        self.parts[1] = self._merged(self.parts[1], (keys, starts, counts))
+        if 4 * len(self.parts[1][0]) > len(self.parts[0][0]):
+            self.parts[0], self.parts[1] = self._merged(*self.parts), tuple(x[:0] for x in self.parts[1])
+        return starts
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+    def __len__(self) -> int:
+        return len(self.parts[0][0]) + len(self.parts[1][0])
+
+
 class Encoder:
-    """Token ids of texts as little-endian uint32 bytes, equal to the tokenizer's own on the whole text.
+    """Token ids of texts as little-endian uint32, equal to the tokenizer's own on the whole text.
 
-    The byte-level pre-tokenizer never joins characters across a single space that follows and precedes a character
-    other than white space: such a space starts the next token. So a text is cut there and ids of chunks are cached.
-    Texts holding other white space patterns or a special token go to the tokenizer as a whole.
+    The byte-level pre-tokenizer never joins characters across a single space between other characters: such a space
+    starts the next token. So texts are cut there; chunks are hashed and looked up a batch at a time, and the unknown
+    ones are encoded as one string, whose ids are parted by their byte lengths. Texts with other white space are
+    encoded as a whole, and texts with a special token by the tokenizer itself. The quick encoder takes its ranks from
+    the tokenizer's vocabulary; where that isn't a byte-level one in merge order, the tokenizer does everything.
     """
 
     def __init__(self, path: str):
+        import json
         import re
 
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"  ", r"[^\S\n ]", r"[\x1c-\x1f]", r" \n", *special]))
-        self.cache: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text or self.whole.search(text):
-            return self.ids(text) if text else b""
-        chunks = text.split(" ")
-        head, tail = chunks[0], [" " + c for c in chunks[1:]]
-        if tail and tail[-1] == " ":
-            return self.ids(text)
-        cache = self.cache
-        missing = list({c for c in tail if c not in cache})
-        if missing:
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-                missing = list(set(tail))
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            own = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(missing, found, strict=True)}
-            out = b"".join([own[c] if c in own else cache[c] for c in tail])
-            cache.update((c, b) for c, b in own.items() if len(c) <= CACHE_CHARS)
-        else:
-            out = b"".join(map(cache.__getitem__, tail))
-        return (self.ids(head) if head else b"") + out
+        self.special = re.compile("|".join(special)) if special else None
+        self.other = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, vocab = byte_letters(), spec["model"].get("vocab", {})
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", [])]
+        made = [vocab.get(a + b, -1) for a, b in merges]
+        pre = spec.get("pre_tokenizer") or {}
+        byte_level = spec["model"].get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.quick = None
+        if byte_level and made == sorted(made) and min(made, default=-1) >= 0 and all(c in letters for t in vocab if t not in added for c in t):
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}
+            self.quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+            for t, i in ranks.items():
+                self.lengths[i] = len(t)
+        self.table = ChunkTable()
+        rng = np.random.default_rng(20)
+        self.letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1 << 62, 1 << 63)) | 5
+        self.powers = np.ones((2, 1), np.uint64)
+
+    def ids(self, text: str) -> np.ndarray:
+        """By the tokenizer itself."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def plain(self, text: str) -> np.ndarray:
+        return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        usual, heads, tails = [], [], []
+        for i, t in enumerate(texts):
+            if self.quick is None or self.special and self.special.search(t):
+                out[i] = self.ids(t) if t else np.zeros(0, "<u4")
+            elif "  " in t or " \n" in t or t[-1:] == " " or self.other.search(t):
+                out[i] = self.plain(t)
+            else:
+                head, space, tail = t.partition(" ")
+                usual.append(i)
+                heads.append(self.plain(head) if head else np.zeros(0, "<u4"))
+                tails.append((space + tail).encode())
+        found, sizes = self._chunks(b"".join(tails), np.array([len(t) for t in tails], np.int64))
+        ends = np.cumsum(sizes).tolist()
+        for i, head, s, e in zip(usual, heads, [0, *ends], ends, strict=False):
+            out[i] = np.concatenate([head, found[s:e]])
+        return out
+
+    def _hashes(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Polynomial hashes modulo 2^64 of raw[begin:end], from one running sum."""
+        n = len(raw)
+        if n > self.powers.shape[1]:
+            inverse = pow(self.base, -1, 1 << 64)
+            self.powers = np.stack([np.cumprod(np.r_[np.uint64(1), np.full(2 * n, b, np.uint64)]) for b in (self.base, inverse)])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.letter[raw] * self.powers[0, :n], out=sums[1:])
+        h = (sums[end] - sums[begin]) * self.powers[1, begin]
+        h ^= h >> np.uint64(29)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
+
+    def _chunks(self, blob: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, each empty or starting with a space, and how many ids each of them has."""
+        raw = np.frombuffer(blob, np.uint8)
+        begin = np.flatnonzero(raw == 32)
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(len(sizes), np.int64)
+        end = np.r_[begin[1:], len(raw)]
+        keys, first, place = np.unique(self._hashes(raw, begin, end), return_index=True, return_inverse=True)
+        if len(self.table) > CACHE_CHUNKS:
+            self.table = ChunkTable()
+        start, count = self.table.find(keys)
+        missing = np.flatnonzero(count < 0)
+        if len(missing):
+            b, e = begin[first[missing]], end[first[missing]]
+            ids = self.plain(b"".join([blob[s:t] for s, t in zip(b.tolist(), e.tolist(), strict=True)]).decode())
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(e - b)) + 1
+            count[missing] = np.diff(cuts, prepend=0)
+            start[missing] = self.table.add(keys[missing], count[missing], ids)
+        start, count = start[place], count[place]
+        before = np.r_[0, np.cumsum(count)]
+        found = self.table.pool[np.repeat(start - before[:-1], count) + np.arange(before[-1])]
+        edges = np.searchsorted(begin, np.r_[0, np.cumsum(sizes)])
+        return found.astype("<u4", copy=False), np.diff(before[edges])
 
 
 def encoder(path: str) -> Encoder:
@@ -87,14 +200,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, eos: int, with_ids: bool) -> DataFrame:
     """Per piece: the id, piece, start, length, ids_crc32 and, if asked for, its ids as little-endian uint32 bytes."""
-    end = int(eos).to_bytes(4, "little")
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
             rows, texts = [], batch.column(1)
-            for i in range(batch.num_rows):
-                ids = enc.encode(texts[i].as_py() or "") + end
+            for i, ids in enumerate(enc.encode_batch([t or "" for t in texts.to_pylist()])):
+                ids = np.append(ids, np.uint32(eos)).astype("<u4", copy=False).tobytes()
                 for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * s : 4 * (s + n)]
                     rows.append((i, k, s, n, zlib.crc32(own), own if with_ids else None))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_classifier, quality_rules, toxicity
+from . import minhash, mixing, packing, quality_classifier, quality_rules, toxicity
 from .common import documents
 
 
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "source", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept")])
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
     return quality_classifier.classify(docs, labels(spark, sf_dir)).select("doc_id", "held_out", "score", "predicted")
@@ -44,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_mix_sources, op3_best_fit_packing, op5_quality_rules, op8_quality_classifier, op9_toxicity)
+    own = (op1_mix_sources, op3_best_fit_packing, op5_quality_rules, op6_minhash_near_dedup, op8_quality_classifier, op9_toxicity)
     return {f.__name__: f for f in own}
 
 
