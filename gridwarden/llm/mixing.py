@@ -95,6 +95,6 @@ def apply_mix(mixed: DataFrame, text_col: str = "text", mix_col: str = "mix") ->
     size, taken, text = F.col(f"{mix_col}.size"), F.col(f"{mix_col}.taken"), F.col(f"`{text_col}`")
     copies = F.ceil(taken / size).cast("int")
     words = F.least(size, taken - F.col("__epoch") * size)
-    cut = F.regexp_extract(text, F.concat(F.lit(r"\A(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,"), F.col("__words").cast("string"), F.lit("}+")), 0)
+    cut = F.call_function("regexp_extract", text, F.concat(F.lit(r"\A(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){0,"), F.col("__words").cast("string"), F.lit("}+")), F.lit(0))
     rows = mixed.where((size > 0) & (taken > 0)).withColumn("__epoch", F.explode(F.sequence(F.lit(0), copies - 1))).withColumn("__words", words)
     return rows.withColumn(text_col, F.when(F.col("__words") == size, text).otherwise(cut)).drop("__epoch", "__words", mix_col)
