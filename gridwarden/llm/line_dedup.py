@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAPS, drop_stored, prepare, stored, sweep
-from .linking import link, shared_buckets
-from .minhash import band_keys, bounded_ids, joined_pairs, mixed
+from .linking import band_keys, link, mixed, remaining_edges, shared_buckets
+from .minhash import bounded_ids, joined_pairs
 
 #: Characters of a shingle; bands and minima of each: a pair of similarity 0.8 is missed with a probability of 0.5 %.
 WIDTH, BANDS, ROWS = 8, 10, 4
@@ -66,6 +66,12 @@ def line_signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
+def set_signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """The same signatures, from sets of shingle hashes."""
+    x = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
+    return np.stack([np.array([(v * a + b).min() for a, b in zip(_A, _B, strict=True)], np.uint32) for v in x])
+
+
 def sketched_lines(docs: DataFrame) -> DataFrame:
     """For docs(doc, row, text): a row (doc, row, line, h, keys) for each line with a word; keys are its packed band keys."""
 
@@ -131,13 +137,10 @@ def removals(docs: DataFrame, id_col: str, text_col: str, share: int = SHARE) ->
     def verify(pairs: DataFrame) -> DataFrame:
         return joined_pairs(pairs, texts, "text").where(F.pandas_udf(similar_lines, "boolean")("x", "y")).select("a", "b").distinct()
 
-    def signed(rows: DataFrame) -> DataFrame:
-        def sign(t: pd.Series) -> pd.Series:
-            return pd.Series([s.tobytes() for s in line_signatures(list(t))], dtype=object)
-
-        return rows.join(texts.select("id", F.pandas_udf(sign, "binary")("text").alias("s")), "id")
+    def remaining(rows: DataFrame) -> DataFrame:
+        return remaining_edges(rows.join(texts.withColumnRenamed("text", "s"), "id"), line_set, set_signatures, BANDS, share, 0.45)
 
-    comp = link(members, verify, signed)
+    comp = link(members, verify, remaining)
     drop_stored(members)
     place = F.struct("doc", "line", "row")
     linked = nodes.join(comp, "id")
@@ -145,7 +148,7 @@ def removals(docs: DataFrame, id_col: str, text_col: str, share: int = SHARE) ->
     classes = nodes.join(comp, "id", "left").join(heads, "component", "left").select("h", F.coalesce("head", place).alias("head"), (F.col("n") > 1).alias("many"), F.col("component").isNotNull().alias("fuzzy"))
     classes = stored(classes.where(F.col("many") | F.col("fuzzy")).select("h", "head"), "lines-classes")
     gone = lines.select("doc", "row", "line", "h").join(classes, "h").where(F.struct("doc", "line", "row") != F.col("head"))
-    return gone.groupBy("doc", "row").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    return gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

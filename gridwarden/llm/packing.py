@@ -291,7 +291,9 @@ def pack(
     A null or empty text is its end token alone; only documents beyond capacity are cut, the first piece taking the
     remainder. Repeated rows and null ids are packed like any others. An empty table gives an empty result. Columns
     other than the two named are not read, so their names can't clash. certified: the partition that packed the
-    piece uses as few sequences as its lower bound. part_items bounds the pieces that one task packs.
+    piece uses as few sequences as its lower bound. part_items bounds the pieces
+    that one task packs at first; each exchange deals what is left over to half as many partitions for its size.
+    So a task holds at most part_items times 2 to the power of rounds pieces.
     """
     prepare(docs.sparkSession)
     table = stored(tokenised(docs, id_col, text_col, tokenizer, capacity, eos, with_ids).withColumn("__slot", F.monotonically_increasing_id()), "pack-pieces")
@@ -307,11 +309,13 @@ def pack(
         n, before, parts = pool.agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1)), F.countDistinct("__part")).first()
         if parts < 2:
             break
-        again = stored(packed_partitions(dealt(pool.select(*plain), n, part_items, turn), capacity), f"pack-round{turn}")
+        again = stored(packed_partitions(dealt(pool.select(*plain), n, part_items << turn, turn), capacity), f"pack-round{turn}")
         after = again.where(F.col("offset") == 0).count()
         if after >= before:
             drop_stored(again)
-            break
+            if n <= part_items << turn:
+                break
+            continue
         done.append(numbered(packed.join(pool.select("__slot"), "__slot", "left_anti"), turn - 1, plain))
         packed = again
     done.append(numbered(packed, rounds + 1, plain))
