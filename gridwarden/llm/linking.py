@@ -2,8 +2,8 @@
 
 Within a bucket of equal band keys no pairs are listed. Each round, a bucket names one of its members as centre and the
 others that aren't yet in the centre's component are compared with it; that is linear in the bucket. Buckets of one
-component are done. Rounds go on while they settle buckets; pairs across components that then remain in a bucket are
-compared by signature, in blocks of bounded size, and those that pass are verified. So no link within a bucket is lost.
+component are done. Rounds go on while they settle buckets; what then remains in several components of a bucket is compared where it
+lies, in blocks of bounded size, and only edges that join components come out. So no link within a bucket is lost.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
     return bands.join(many, "k")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similar: Callable[[DataFrame], DataFrame], most_rounds: int = 6) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], remaining: Callable[[DataFrame], DataFrame], most_rounds: int = 6) -> DataFrame:
     """(id, component) over members(k, id), for ids that are linked with another.
 
-    verify: keeps of pairs(a, b) those whose sets are similar enough. similar: adds a signature column s to a table
-    with id, for the pairs that stars leave over.
+    verify: keeps of pairs(a, b) those whose sets are similar enough. remaining: verified edges (a, b) across components
+    within the buckets of rows(k, id, c, n), for what stars leave over.
     """
     spark = members.sparkSession
     edges: DataFrame | None = None
@@ -57,8 +57,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], similar:
         left = stored(unsettled(with_components(members, comp)), "link-left")
         n_left = left.count()
     if n_left:
-        rest = remaining_pairs(similar(unsettled(left.select("k", "id", "c"))))
-        found = stored(verify(stored(rest, "link-rest")).select("a", "b"), "link-edges")
+        found = stored(remaining(unsettled(left.select("k", "id", "c"))), "link-edges")
         edges = found if edges is None else edges.unionByName(found)
         comp = stored(components(edges), "link-components")
         sweep(spark)
@@ -77,10 +76,12 @@ def unsettled(now: DataFrame) -> DataFrame:
     return now.join(open_, "k").select("k", "id", "c", "n")
 
 
-def remaining_pairs(rows: DataFrame, least: float = 0.55) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket, in different components, whose signatures agree in `least` of their minima.
+def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: int, share: int, least: float) -> DataFrame:
+    """Edges (a, b) that join components within a bucket, verified where its members are.
 
-    rows: k, id, c, n (members of the bucket), s (signature). A bucket beyond BLOCK members is cut into blocks, and each
+    rows: k, id, c, n (members of the bucket), s (what as_set makes the member's set of). Pairs across components are
+    compared by signature in the first band that they share, and on their sets unless edges found before join them
+    already: at most one edge less than members comes out. A bucket beyond BLOCK members is cut into blocks, and each
     pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -89,18 +90,45 @@ def remaining_pairs(rows: DataFrame, least: float = 0.55) -> DataFrame:
     dealt = dealt.select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "c", "s")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
-        sig = lambda x: np.stack([np.frombuffer(s, np.uint32) for s in x["s"]])
+        i, j, key = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["k"].iloc[0])
+        ids, side = pdf["id"].to_numpy(), pdf["mine"].to_numpy()
+        sets = [as_set(x) for x in pdf["s"]]
+        sizes = np.array([len(x) for x in sets])
+        sigs = sign(sets)
+        keys = band_keys(sigs, bands)
+        band = int(np.argmax((keys == key).all(0)))
+        names = {c: n for n, c in enumerate(dict.fromkeys(pdf["c"].tolist()))}
+        root = np.array([names[c] for c in pdf["c"].tolist()])
         out = []
-        if len(left) and len(right):
-            a, b, ia, ib, ca, cb = sig(left), sig(right), left["id"].to_numpy(), right["id"].to_numpy(), left["c"].to_numpy(), right["c"].to_numpy()
-            for x in range(len(a)):
-                ok = (ca[x] != cb) & (ib > ia[x] if i == j else np.ones(len(ib), bool))
-                if ok.any():
-                    at = np.flatnonzero(ok)
-                    at = at[(b[at] == a[x]).mean(1) >= least]
-                    out += [(min(ia[x], y), max(ia[x], y)) for y in ib[at].tolist()]
+        for x in range(len(ids)):
+            after = np.arange(x + 1, len(ids))
+            at = after[(root[after] != root[x]) & ((side[after] != side[x]) if i != j else True)]
+            at = at[100 * np.minimum(sizes[at], sizes[x]) >= share * np.maximum(sizes[at], sizes[x])]
+            at = at[(sigs[at] == sigs[x]).mean(1) >= least]
+            at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
+            for y in at.tolist():
+                if root[x] != root[y]:
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= share * (sizes[x] + sizes[y] - common):
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        root[root == root[y]] = root[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Finishes 64-bit hashes, so that all of their bits depend on all of the input's."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
+    """64-bit keys, one row for each signature and one column for each band."""
+    rows = signatures.shape[1] // bands
+    parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
+    total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2]).copy()
+    for i in range(rows):
+        total = mixed(total + parts[:, :, i])
+    return total.view(np.int64)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, prepare, stored, sweep
-from .linking import link, shared_buckets
+from .linking import band_keys, link, mixed, remaining_edges, shared_buckets
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -32,13 +32,6 @@ _A = _RNG.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint
 _B = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Finishes 64-bit hashes, so that all of their bits depend on all of the input's."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence if it is shorter; empty without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -63,16 +56,6 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    """64-bit keys, one row for each signature and one column for each band."""
-    rows = signatures.shape[1] // bands
-    parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
-    total = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2]).copy()
-    for i in range(rows):
-        total = mixed(total + parts[:, :, i])
-    return total.view(np.int64)
-
-
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, the set's 128-bit key and its signature; the latter null for an empty set."""
 
@@ -94,7 +77,7 @@ def banded(nodes: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(np.stack([np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()]))
+                keys = band_keys(np.stack([np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()]), BANDS)
                 ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["k", "id"])
 
@@ -153,7 +136,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         close = stored(close, "minhash-close")
         return joined_pairs(close, sets, "set").where(F.pandas_udf(similar_sets, "boolean")("x", "y")).select("a", "b").distinct()
 
-    comp = link(members, verify, lambda rows: rows.join(sigs.withColumnRenamed("sig", "s"), "id"))
+    def remaining(rows: DataFrame) -> DataFrame:
+        with_sets = rows.join(sets.withColumnRenamed("set", "s"), "id")
+        return remaining_edges(with_sets, lambda s: np.frombuffer(s, np.uint64), lambda x: np.stack([signature(s) for s in x]), BANDS, share, SIGNATURE_LEAST)
+
+    comp = link(members, verify, remaining)
     by_key = stored(nodes.join(comp, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")), "minhash-classes")
     drop_stored(members, sets)
     own = usable.join(by_key, "key").groupBy("id").agg(F.min("component_id").alias("component_id")).withColumnRenamed("id", "__id")
