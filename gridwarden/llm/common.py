@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,7 @@ def sweep(spark: SparkSession) -> None:
     """Shuffle files of finished steps are deleted once the driver has collected its garbage; without this they pile up."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works beside us
 
 
 def small_enough(df: DataFrame, text_col: str | None = None) -> bool:

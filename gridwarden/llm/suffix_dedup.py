@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, stored, sweep
-from .minhash import bounded_ids, mixed
+from .linking import mixed
+from .minhash import bounded_ids
 
 LENGTH, TRIGGER, GRAM = 100, 40, 16
 REACH = LENGTH - TRIGGER + 1
 #: Starts of strings that are parsed at once; longer texts are parsed in parts.
 PART = 1 << 20
-#: Phrases to look into that may be broadcast, about 16 bytes each.
-BROADCAST_PHRASES = 1_000_000
+#: Phrases to look into that may be broadcast, 8 bytes each and one row for each document.
+BROADCAST_PHRASES = 3_000_000
 _RNG = np.random.default_rng(11)
 _LETTER = _RNG.integers(0, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(1 << 61, 1 << 62)) * 8 + 5
@@ -110,13 +111,13 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """A row (w, doc, th, s) for each 100-byte string that starts in the phrases of docs(doc, th, phrases, text)."""
+    """A row (w, doc, th, s) for each 100-byte string that starts in the phrases, 128 s + n, of docs(doc, th, phrases, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, th, own, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 raw = text_bytes(text)
-                s, n = np.array([p["s"] for p in own], np.int64), np.array([p["n"] for p in own], np.int64)
+                s, n = np.array(own, np.int64) // 128, np.array(own, np.int64) % 128
                 at = np.unique(np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()))
                 for o, part in parts(raw):
                     here = at[(at >= o) & (at < o + PART)] - o
@@ -175,7 +176,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = table.where("again").select("doc", "th", "s", "n")
     inside = table.where("look").select(F.col("f.doc").alias("doc"), F.col("f.s").alias("s"), "n")
     n_inside = inside.count()
-    by_doc = inside.groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("phrases"))
+    by_doc = inside.groupBy("doc").agg(F.collect_list(F.col("s") * 128 + F.col("n")).alias("phrases"))
     by_doc = F.broadcast(by_doc) if n_inside <= BROADCAST_PHRASES else by_doc
     places = suffixes(own.join(by_doc, "doc").select("doc", "th", "phrases", "text"))
     equal = Window.partitionBy("w").orderBy("doc", "s").rowsBetween(Window.unboundedPreceding, 0)
