@@ -2,8 +2,8 @@
 
 Documents are tokenised once into pieces of at most the capacity; whole-capacity pieces fill a sequence each. The rest
 is dealt to partitions, each packed by best-fit decreasing and given a lower bound by dual-feasible functions. A
-partition whose bin count equals its bound is certified. Partitions with gaps exchange the documents of their unfilled
-bins, which are dealt anew and repacked, as long as that saves bins.
+partition whose bin count equals its bound is certified. While all bins are more than the bound of all pieces, partitions
+exchange the documents of their unfilled bins, which are dealt anew, to fewer partitions, and repacked if that saves bins.
 """
 
 from __future__ import annotations
@@ -302,11 +302,15 @@ def pack(
     open_items = table.where(F.col("length") < capacity).select(*plain)
     done: list[DataFrame] = []
     packed = stored(packed_partitions(dealt(open_items, open_items.count(), part_items, 0), capacity), "pack-round0")
+    least, frozen = least_sequences(open_items, capacity), 0
     for turn in range(1, rounds + 1):
-        totals = packed.groupBy("__part").agg((F.max("__bin") + 1).alias("__bins"), F.max("__bound").alias("__least"))
-        gaps = totals.where(F.col("__bins") > F.col("__least")).select("__part")
-        pool = packed.join(F.broadcast(gaps) if gaps.count() <= 100_000 else gaps, "__part").where(F.col("__fill") < capacity)
-        n, before, parts = pool.agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1)), F.countDistinct("__part")).first()
+        # A certified partition may still waste part of a bin that it shares with no other: gaps are of all together.
+        pool = packed.where(F.col("__fill") < capacity)
+        first = F.col("offset") == 0
+        total = packed.where(first).count()
+        if frozen + total <= least:
+            break
+        n, before, parts = pool.agg(F.count(F.lit(1)), F.count(F.when(first, 1)), F.countDistinct("__part")).first()
         if parts < 2:
             break
         again = stored(packed_partitions(dealt(pool.select(*plain), n, part_items << turn, turn), capacity), f"pack-round{turn}")
@@ -316,6 +320,7 @@ def pack(
             if n <= part_items << turn:
                 break
             continue
+        frozen += total - before
         done.append(numbered(packed.join(pool.select("__slot"), "__slot", "left_anti"), turn - 1, plain))
         packed = again
     done.append(numbered(packed, rounds + 1, plain))
