@@ -22,6 +22,8 @@ VECTORS_PER_PIVOT, MOST_PIVOTS = 64, 48
 ORDER, POST, VISIT = 32, 0.25, 0.4
 #: Share of what a query finds in a file that is reranked by exact distance.
 RERANK = 0.5
+#: Vectors of a file that are reranked for each neighbour asked for, at least: small files are gone through whole.
+FEWEST = 100
 #: Vectors of a file, and queries on them, that one task holds.
 FILE_BLOCK, QUERY_BLOCK = 20_000, 2_000
 
@@ -95,7 +97,7 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id",
             x = np.stack([np.frombuffer(v) for v in mine["v"]])
             r = ranks(np.stack([np.frombuffer(o, np.int16).astype(np.int64) for o in mine["o"]]), n_pivots)
             ids = mine["id"].to_numpy()
-            take = max(20 * k, int(np.ceil(rerank * len(ids))))
+            take = max(FEWEST * k, int(np.ceil(rerank * len(ids))))
             for query, qv, qo in zip(theirs["query"], theirs["qv"], theirs["qo"], strict=True):
                 q = np.frombuffer(qv)
                 at = np.flatnonzero(ids != query)
