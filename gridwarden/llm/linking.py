@@ -94,6 +94,9 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
         ids, side = pdf["id"].to_numpy(), pdf["mine"].to_numpy()
         sets = [as_set(x) for x in pdf["s"]]
         sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        elements, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros(len(elements), bool)  # elements of the set that others are compared with
         sigs = sign(sets)
         keys = band_keys(sigs, bands)
         band = int(np.argmax((keys == key).all(0)))
@@ -106,12 +109,17 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
             at = at[100 * np.minimum(sizes[at], sizes[x]) >= share * np.maximum(sizes[at], sizes[x])]
             at = at[(sigs[at] == sigs[x]).mean(1) >= least]
             at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
+            if not len(at):
+                continue
+            own = codes[ends[x] - sizes[x] : ends[x]]
+            held[own] = True
             for y in at.tolist():
                 if root[x] != root[y]:
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    common = np.count_nonzero(held[codes[ends[y] - sizes[y] : ends[y]]])
                     if 100 * common >= share * (sizes[x] + sizes[y] - common):
                         out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
                         root[root == root[y]] = root[x]
+            held[own] = False
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").distinct()
