@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAPS, drop_stored, prepare, stored, sweep
-from .linking import band_keys, link, mixed, remaining_edges, shared_buckets
+from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
 from .minhash import bounded_ids, joined_pairs
 
 #: Characters of a shingle; bands and minima of each: a pair of similarity 0.8 is missed with a probability of 0.5 %.
 WIDTH, BANDS, ROWS = 8, 10, 4
 SHARE = 80
 _RNG = np.random.default_rng(29)
-_CHAR = _RNG.integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: WIDTH is a power of two: the hash of a shingle is made of those of its halves, with a factor for each doubling.
+_HALF = _RNG.integers(1, 1 << 62, WIDTH.bit_length() - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 #: Characters whose shingles are hashed at once: they stay in a core's cache.
@@ -33,16 +34,21 @@ CHUNK = 1 << 14
 
 def shingles(codes: np.ndarray) -> np.ndarray:
     """Hashes of the shingles that start at each character but the last WIDTH - 1."""
-    n = max(0, len(codes) - WIDTH + 1)
-    total = np.zeros(n, np.uint64)
-    for i in range(WIDTH):
-        total += codes[i : i + n].astype(np.uint64) * _CHAR[i]
+    if len(codes) < WIDTH:
+        return np.zeros(0, np.uint64)
+    total = codes.astype(np.uint64)
+    for i, factor in enumerate(_HALF):
+        after = total[1 << i :] * factor
+        after += total[: len(after)]
+        total = after
     return mixed(total)
 
 
 def line_set(line: str) -> np.ndarray:
     """Sorted distinct shingle hashes of a line; of the padded line if it is shorter than a shingle."""
-    return np.unique(shingles(np.frombuffer(line.ljust(WIDTH, "\0").encode("utf-32-le", "surrogatepass"), np.uint32)))
+    found = shingles(np.frombuffer(line.ljust(WIDTH, "\0").encode("utf-32-le", "surrogatepass"), np.uint32))
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def line_signatures(lines: list[str]) -> np.ndarray:
@@ -60,18 +66,15 @@ def line_signatures(lines: list[str]) -> np.ndarray:
         x = (shingles(np.r_[codes, np.zeros(WIDTH - 1, np.uint32)]) >> np.uint64(32)).astype(np.uint32)
         whole = np.arange(len(codes)) <= np.repeat(starts + lengths - WIDTH, lengths)
         x, starts = x[whole], starts - (WIDTH - 1) * np.arange(len(own))
+        h = np.empty_like(x)
         for k in range(BANDS * ROWS):
-            out[at : at + len(own), k] = np.minimum.reduceat(x * _A[k] + _B[k], starts)
+            np.multiply(x, _A[k], out=h)
+            np.add(h, _B[k], out=h)
+            out[at : at + len(own), k] = np.minimum.reduceat(h, starts)
         at += len(own)
     return out
 
 
-def set_signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The same signatures, from sets of shingle hashes."""
-    x = [(s >> np.uint64(32)).astype(np.uint32) for s in sets]
-    return np.stack([np.array([(v * a + b).min() for a, b in zip(_A, _B, strict=True)], np.uint32) for v in x])
-
-
 def sketched_lines(docs: DataFrame) -> DataFrame:
     """For docs(doc, row, text): a row (doc, row, line, h, keys) for each line with a word; keys are its packed band keys."""
 
@@ -127,18 +130,14 @@ def removals(docs: DataFrame, id_col: str, text_col: str, share: int = SHARE) ->
     sweep(spark)
 
     def similar_lines(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = line_set(a), line_set(b)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * common >= share * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
+        sets = {line: line_set(line) for line in {*x, *y}}  # a star's centre is in many pairs of a batch
+        return pd.Series([similar(sets[a], sets[b], share) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return joined_pairs(pairs, texts, "text").where(F.pandas_udf(similar_lines, "boolean")("x", "y")).select("a", "b").distinct()
 
     def remaining(rows: DataFrame) -> DataFrame:
-        return remaining_edges(rows.join(texts.withColumnRenamed("text", "s"), "id"), line_set, set_signatures, BANDS, share, 0.45)
+        return remaining_edges(rows.join(texts.withColumnRenamed("text", "s"), "id"), line_set, line_signatures, BANDS, share, 0.45)
 
     comp = link(members, verify, remaining)
     drop_stored(members)

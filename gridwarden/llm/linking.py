@@ -40,9 +40,10 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], remaining
     left_before = None
     for turn in range(most_rounds):
         now = with_components(members, comp)
-        bucket = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+        order = F.xxhash64("id", F.lit(turn))
+        bucket = now.groupBy("k").agg(F.min_by("id", order).alias("x"), F.min_by("c", order).alias("xc"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
         bucket = bucket.where((F.col("lo") < F.col("hi")) & (F.col("n") > (2 if turn else 1)))
-        left = stored(now.join(bucket.select("k", F.col("x.id").alias("x"), F.col("x.c").alias("xc")), "k"), "link-left")
+        left = stored(now.join(bucket.select("k", "x", "xc"), "k"), "link-left")
         n_left = left.count()
         if not n_left or left_before is not None and n_left > 0.8 * left_before:
             break
@@ -79,10 +80,10 @@ def unsettled(now: DataFrame) -> DataFrame:
 def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: int, share: int, least: float) -> DataFrame:
     """Edges (a, b) that join components within a bucket, verified where its members are.
 
-    rows: k, id, c, n (members of the bucket), s (what as_set makes the member's set of). Pairs across components are
-    compared by signature in the first band that they share, and on their sets unless edges found before join them
-    already: at most one edge less than members comes out. A bucket beyond BLOCK members is cut into blocks, and each
-    pair of blocks is a group of its own.
+    rows: k, id, c, n (members of the bucket), s (what as_set makes the member's set of, and sign the signatures of a
+    list of members). Pairs across components are compared by signature in the first band that they share, and on their
+    sets, made when first needed, unless edges found before join them already: at most one edge less than members comes
+    out. A bucket beyond BLOCK members is cut into blocks, and each pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -92,12 +93,14 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, key = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["k"].iloc[0])
         ids, side = pdf["id"].to_numpy(), pdf["mine"].to_numpy()
-        sets = [as_set(x) for x in pdf["s"]]
-        sizes = np.array([len(x) for x in sets])
-        ends = np.cumsum(sizes)
-        elements, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        held = np.zeros(len(elements), bool)  # elements of the set that others are compared with
-        sigs = sign(sets)
+        raw, sets = pdf["s"].tolist(), {}
+        sigs = sign(raw)
+
+        def own_set(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = as_set(raw[x])
+            return sets[x]
+
         keys = band_keys(sigs, bands)
         band = int(np.argmax((keys == key).all(0)))
         names = {c: n for n, c in enumerate(dict.fromkeys(pdf["c"].tolist()))}
@@ -106,25 +109,29 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
         for x in range(len(ids)):
             after = np.arange(x + 1, len(ids))
             at = after[(root[after] != root[x]) & ((side[after] != side[x]) if i != j else True)]
-            at = at[100 * np.minimum(sizes[at], sizes[x]) >= share * np.maximum(sizes[at], sizes[x])]
-            at = at[(sigs[at] == sigs[x]).mean(1) >= least]
-            at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
             if not len(at):
                 continue
-            own = codes[ends[x] - sizes[x] : ends[x]]
-            held[own] = True
+            at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
+            at = at[(sigs[at] == sigs[x]).mean(1) >= least]
             for y in at.tolist():
-                if root[x] != root[y]:
-                    common = np.count_nonzero(held[codes[ends[y] - sizes[y] : ends[y]]])
-                    if 100 * common >= share * (sizes[x] + sizes[y] - common):
-                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                        root[root == root[y]] = root[x]
-            held[own] = False
+                if root[x] != root[y] and similar(own_set(x), own_set(y), share):
+                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                    root[root == root[y]] = root[x]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
+    """Whether two sets, as sorted distinct hashes, have a similarity of share / 100 or more."""
+    if 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges the two runs
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return 100 * common >= share * (len(a) + len(b) - common)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finishes 64-bit hashes, so that all of their bits depend on all of the input's."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

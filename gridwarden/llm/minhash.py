@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, prepare, stored, sweep
-from .linking import band_keys, link, mixed, remaining_edges, shared_buckets
+from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -124,12 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean() for a, b in zip(x, y, strict=True)], dtype="float64")
 
     def similar_sets(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * common >= share * (len(a) + len(b) - common))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), share) for a, b in zip(x, y, strict=True)], dtype=bool)
 
     def verify(pairs: DataFrame) -> DataFrame:
         close = joined_pairs(pairs, sigs, "sig").where(F.pandas_udf(agree, "double")("x", "y") >= SIGNATURE_LEAST).select("a", "b")
@@ -138,7 +133,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def remaining(rows: DataFrame) -> DataFrame:
         with_sets = rows.join(sets.withColumnRenamed("set", "s"), "id")
-        return remaining_edges(with_sets, lambda s: np.frombuffer(s, np.uint64), lambda x: np.stack([signature(s) for s in x]), BANDS, share, SIGNATURE_LEAST)
+        return remaining_edges(with_sets, lambda s: np.frombuffer(s, np.uint64), lambda x: np.stack([signature(np.frombuffer(s, np.uint64)) for s in x]), BANDS, share, SIGNATURE_LEAST)
 
     comp = link(members, verify, remaining)
     by_key = stored(nodes.join(comp, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")), "minhash-classes")
