@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from .components import components
 
 #: Members of a bucket that one task compares with each other.
 BLOCK = 1_000
+#: Set elements that are looked up at once.
+MARKS = 1_000_000
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
 
     rows: k, id, c, n (members of the bucket), s (what as_set makes the member's set of, and sign the signatures of a
     list of members). Pairs across components are compared by signature in the first band that they share, and on their
-    sets, made when first needed, unless edges found before join them already: at most one edge less than members comes
+    sets, made when a pair first needs them, unless edges found before join them already: at most one edge less than members comes
     out. A bucket beyond BLOCK members is cut into blocks, and each pair of blocks is a group of its own.
     """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
@@ -90,21 +92,14 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "c", "s")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, key = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["k"].iloc[0])
-        ids, side = pdf["id"].to_numpy(), pdf["mine"].to_numpy()
-        raw, sets = pdf["s"].tolist(), {}
+    def compare(group: pa.Table) -> pa.Table:
+        column = {name: group.column(name).to_numpy() for name in ("k", "i", "j", "mine", "id", "c")}
+        i, j, ids, side = column["i"][0], column["j"][0], column["id"], column["mine"]
+        raw, codes = group.column("s").to_pylist(), []
         sigs = sign(raw)
-
-        def own_set(x: int) -> np.ndarray:
-            if x not in sets:
-                sets[x] = as_set(raw[x])
-            return sets[x]
-
         keys = band_keys(sigs, bands)
-        band = int(np.argmax((keys == key).all(0)))
-        names = {c: n for n, c in enumerate(dict.fromkeys(pdf["c"].tolist()))}
-        root = np.array([names[c] for c in pdf["c"].tolist()])
+        band = int(np.argmax((keys == column["k"][0]).all(0)))
+        root = np.unique(column["c"], return_inverse=True)[1]
         out = []
         for x in range(len(ids)):
             after = np.arange(x + 1, len(ids))
@@ -113,13 +108,29 @@ def remaining_edges(rows: DataFrame, as_set: Callable, sign: Callable, bands: in
                 continue
             at = at[~(keys[at, :band] == keys[x, :band]).any(1)]
             at = at[(sigs[at] == sigs[x]).mean(1) >= least]
-            for y in at.tolist():
-                if root[x] != root[y] and similar(own_set(x), own_set(y), share):
-                    out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-                    root[root == root[y]] = root[x]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("k", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+            if len(at) and not codes:
+                sets = [as_set(s) for s in raw]
+                sizes = np.array([len(s) for s in sets])
+                elements, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+                codes = np.split(inverse.astype(np.int32), np.cumsum(sizes)[:-1])
+                held = np.zeros(len(elements), bool)  # elements of the set that others are compared with
+                del sets, inverse
+            if not len(at):
+                continue
+            at = at[100 * np.minimum(sizes[at], sizes[x]) >= share * np.maximum(sizes[at], sizes[x])]
+            held[codes[x]] = True
+            for part in np.array_split(at, 1 + int(sizes[at].sum()) // MARKS):
+                if len(part):
+                    marks = held[np.concatenate([codes[y] for y in part.tolist()])]
+                    common = np.add.reduceat(marks, np.r_[0, np.cumsum(sizes[part])[:-1]], dtype=np.int64)
+                    for y in part[100 * common >= share * (sizes[x] + sizes[part] - common)].tolist():
+                        if root[x] != root[y]:
+                            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                            root[root == root[y]] = root[x]
+            held[codes[x]] = False
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return dealt.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, share: int) -> bool:
