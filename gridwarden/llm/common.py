@@ -20,6 +20,8 @@ WORD_GAPS = " \t\n\x0b\x0c\r"
 ARROW_ROWS = 256
 #: A table may be broadcast below this many rows and characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 4_000_000
+#: Ids or band keys may be broadcast up to this many: 8 bytes each.
+ID_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +86,11 @@ def maybe_broadcast(df: DataFrame, text_col: str | None = None) -> DataFrame:
     return F.broadcast(df) if small_enough(df, text_col) else df
 
 
+def bounded_ids(ids: DataFrame) -> DataFrame:
+    """A table of one or two longs, with a broadcast hint if its rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= ID_ROWS else ids
+
+
 def word_count(col) -> Column:
     """Number of words of a text column; null counts as no words."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

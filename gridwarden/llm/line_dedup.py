@@ -16,9 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAPS, drop_stored, prepare, stored, sweep
+from .common import WORD_GAPS, bounded_ids, drop_stored, prepare, stored, sweep
 from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
-from .minhash import bounded_ids, joined_pairs
+from .minhash import joined_pairs
 
 #: Characters of a shingle; bands and minima of each: a pair of similarity 0.8 is missed with a probability of 0.5 %.
 WIDTH, BANDS, ROWS = 8, 10, 4

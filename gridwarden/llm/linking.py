@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, sweep
+from .common import bounded_ids, drop_stored, stored, sweep
 from .components import components
 
 #: Members of a bucket that one task compares with each other.
@@ -25,9 +25,10 @@ MARKS = 1_000_000
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
-    """Rows of bands(k, id) whose key has several ids. Counts are pre-aggregated; the join back splits hot keys."""
+    """Rows of bands(k, id) whose key has several ids. Counts are pre-aggregated. Few such keys are broadcast, so that the
+    rows aren't dealt out a second time; beyond the bound the join back deals them, and splits hot keys."""
     many = bands.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi")).select("k")
-    return bands.join(many, "k")
+    return bands.join(bounded_ids(stored(many, "link-keys")), "k")
 
 
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], remaining: Callable[[DataFrame], DataFrame], most_rounds: int = 6) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, prepare, stored, sweep
+from .common import bounded_ids, drop_stored, prepare, stored, sweep
 from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
 
 WIDTH = 5
@@ -24,8 +24,6 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Signatures that agree in a smaller share than this are 5 standard deviations below a similarity of 0.75.
 SIGNATURE_LEAST = 0.55
-#: Ids may be broadcast up to this many: 8 bytes each.
-ID_ROWS = 1_000_000
 _RNG = np.random.default_rng(5)
 _WORD = _RNG.integers(1, 1 << 62, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _RNG.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -84,11 +82,6 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "sig").mapInArrow(rows, "k long, id long")
 
 
-def bounded_ids(ids: DataFrame) -> DataFrame:
-    """ids, with a broadcast hint if there are few enough."""
-    return F.broadcast(ids) if ids.count() <= ID_ROWS else ids
-
-
 def joined_pairs(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """pairs(a, b) with the column of both ends, as x and y."""
     left = table.select(F.col("id").alias("a"), F.col(column).alias("x"))
