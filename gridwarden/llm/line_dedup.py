@@ -20,8 +20,8 @@ from .common import WORD_GAPS, bounded_ids, drop_stored, prepare, stored, sweep
 from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
 from .minhash import joined_pairs
 
-#: Characters of a shingle; bands and minima of each: a pair of similarity 0.8 is missed with a probability of 0.5 %.
-WIDTH, BANDS, ROWS = 8, 10, 4
+#: Characters of a shingle; bands and minima of each: a pair of similarity 0.8 is missed with a probability of 2.5e-6.
+WIDTH, BANDS, ROWS = 8, 18, 3
 SHARE = 80
 _RNG = np.random.default_rng(29)
 #: WIDTH is a power of two: the hash of a shingle is made of those of its halves, with a factor for each doubling.

@@ -200,6 +200,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_pairs_at_the_threshold(spark):
+    rng = random.Random(21)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=151)) for _ in range(2000)]
+    fuzzy = [f"{x[:40]}#{x[41:100]}#{x[101:]}" for x in lines]
+    assert line_dedup.similar(line_dedup.line_set(lines[0]), line_dedup.line_set(fuzzy[0]), 80)
+    assert not line_dedup.similar(line_dedup.line_set(lines[0]), line_dedup.line_set(fuzzy[0]), 81)
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(fuzzy))], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_lines"], r["n_gone"]) for r in line_dedup.dedup_lines(df).collect()} == {1: (2000, 0), 2: (2000, 2000)}
+
+
 def test_suffix_dedup(spark):
     rng = random.Random(2)
     noise = lambda n: "".join(rng.choice("abcdefé \n") for _ in range(n))
