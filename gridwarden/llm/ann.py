@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of vectors. A vector is represented by its nearest pivots in order, and posted in the
+Pivots are a bounded sample of distinct vectors. Of equal vectors only those that can be among a query's neighbours are
+posted, so copies neither crowd the files nor the share that is reranked. A vector is represented by its nearest pivots in order, and posted in the
 inverted files of the first of them. A query visits the files of its own nearest pivots, ranks what it finds there by
 footrule distance between the orders, and reranks the best share by exact distance.
 """
@@ -68,8 +69,8 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id",
     dims = table.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim, total = (dims[0]["d"], dims[0]["count"]) if dims else (1, 0)
     table = table.where(F.size("v") == dim)
-    n_pivots = int(max(1, min(MOST_PIVOTS, total // VECTORS_PER_PIVOT)))
-    sample = table.orderBy(F.xxhash64("id"), "id", "v").limit(n_pivots).collect()
+    sample = table.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id", "v").limit(int(max(1, min(MOST_PIVOTS, total // VECTORS_PER_PIVOT)))).collect()
+    n_pivots = max(1, len(sample))
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in sample], float).reshape(-1, dim))
     length = min(ORDER, n_pivots)
     post, visit = max(min(n_pivots, 8), round(POST * n_pivots)), max(min(n_pivots, 8), round(VISIT * n_pivots))
@@ -83,7 +84,8 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id",
 
     is_query = F.coalesce(query_ids, F.lit(False))
     index = stored(table.withColumn("q", is_query).select("id", "v", "q").mapInPandas(placed, "id long, q boolean, v binary, o binary, near array<int>"), "ann-index")
-    posts = index.select(F.explode(F.slice("near", 1, post)).alias("p"), "id", "v", "o")
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))  # of equal vectors no query has others than these among its k
+    posts = index.withColumn("copy", copy).where(F.col("copy") <= k + 1).select(F.explode(F.slice("near", 1, post)).alias("p"), "id", "v", "o")
     asks = index.where("q").select(F.explode("near").alias("p"), F.col("id").alias("query"), F.col("v").alias("qv"), F.col("o").alias("qo"))
     sizes = posts.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(FILE_BLOCK)).cast("int").alias("nb"))
     askers = asks.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("nq"))

@@ -253,6 +253,26 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(few.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_neighbours_beside_copies(spark):
+    rng = np.random.default_rng(13)
+    x = np.array([r[0] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], float)
+    noisy = np.repeat(x, 2, axis=0)
+    noisy += rng.normal(size=noisy.shape) * 0.5 * noisy.std()
+    x = np.concatenate([x, noisy, np.repeat(x[7:8], 3000, axis=0)])  # a third of all are copies of one vector
+    n = len(x) - 3000
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, (F.col("id") % 40 == 0) & (F.col("id") < n) | (F.col("id") == n + 2000)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    recall = {}
+    for q, found in got.items():
+        d = ann.distances(x, x[q])
+        best = [i for i in np.lexsort((np.arange(len(x)), d)).tolist() if i != q][:10]
+        recall[q] = len(set(best) & {v for _, v in found}) / 10
+    assert recall.pop(n + 2000) == 1 and len(recall) == n // 40
+    assert np.mean(list(recall.values())) >= 0.97
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     say = {"en": ["the", "and", "ing", "tion"], "de": ["der", "und", "ung", "sch"]}
