@@ -31,7 +31,7 @@ LENGTH, TRIGGER, GRAM = 100, 40, 16
 REACH = LENGTH - TRIGGER + 1
 #: Starts of strings that are parsed at once; longer texts are parsed in parts.
 PART = 1 << 20
-#: Phrases to look into that may be broadcast, 8 bytes each and one row for each document.
+#: Phrases to look into that may be broadcast, 8 bytes each and one row for each text.
 BROADCAST_PHRASES = 3_000_000
 _RNG = np.random.default_rng(11)
 _LETTER = _RNG.integers(0, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,22 +163,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = all_docs.select("doc", "th", "text").join(bounded_ids(copies), ["doc", "th"], "left_anti")
 
     order = Window.partitionBy("g").orderBy("c", "doc", "s")
-    same = Window.partitionBy("g", "c").orderBy("doc", "s").rowsBetween(Window.unboundedPreceding, 0)
+    same = Window.partitionBy("g", "c").orderBy("doc", "s", "th").rowsBetween(Window.unboundedPreceding, 0)
     sorted_ = parsed(own).select(
-        "*", F.first(F.struct("doc", "s")).over(same).alias("f"), F.lag("c").over(order).alias("before"), F.lead("c").over(order).alias("after"), F.first("c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least")
+        "*", F.first(F.struct("doc", "s", "th")).over(same).alias("f"), F.lag("c").over(order).alias("before"), F.lead("c").over(order).alias("after"), F.first("c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("least")
     )
-    again = F.struct("doc", "s") > F.col("f")
+    again = F.struct("doc", "s") > F.struct("f.doc", "f.s")
     others = (F.col("least") != F.col("c")) | F.col("after").isNotNull() & (F.col("after") != F.col("c"))
     #: The last row of equal phrases knows whether other phrases have their trigger; it stands for the first of them.
     look = (F.col("after").isNull() | (F.col("after") != F.col("c"))) & others
-    table = stored(sorted_.where(again | look).select("doc", "th", "s", "n", "f", again.alias("again"), look.alias("look")), "repeats-phrases")
+    #: Rows of one id with other texts may start a phrase at the same place: neither is earlier, so all of them are looked into.
+    tied = ~again & (F.col("th") != F.col("f.th"))
+    table = stored(sorted_.where(again | look | tied).select("doc", "th", "s", "n", "f", again.alias("again"), look.alias("look"), tied.alias("tied")), "repeats-phrases")
     sweep(spark)
     marks = table.where("again").select("doc", "th", "s", "n")
-    inside = table.where("look").select(F.col("f.doc").alias("doc"), F.col("f.s").alias("s"), "n")
+    inside = table.where("look").select(F.col("f.doc").alias("doc"), F.col("f.th").alias("th"), F.col("f.s").alias("s"), "n").unionByName(table.where("tied").select("doc", "th", "s", "n"))
     n_inside = inside.count()
-    by_doc = inside.groupBy("doc").agg(F.collect_list(F.col("s") * 128 + F.col("n")).alias("phrases"))
-    by_doc = F.broadcast(by_doc) if n_inside <= BROADCAST_PHRASES else by_doc
-    places = suffixes(own.join(by_doc, "doc").select("doc", "th", "phrases", "text"))
+    by_text = inside.groupBy("doc", "th").agg(F.collect_list(F.col("s") * 128 + F.col("n")).alias("phrases"))
+    by_text = F.broadcast(by_text) if n_inside <= BROADCAST_PHRASES else by_text
+    places = suffixes(own.join(by_text, ["doc", "th"]).select("doc", "th", "phrases", "text"))
     equal = Window.partitionBy("w").orderBy("doc", "s").rowsBetween(Window.unboundedPreceding, 0)
     shared = places.select("doc", "th", "s", F.first(F.struct("doc", "s")).over(equal).alias("f")).where(F.struct("doc", "s") > F.col("f"))
     single = stored(shared.select("doc", "th", "s", F.lit(1).alias("n")), "repeats-strings")

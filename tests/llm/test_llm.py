@@ -231,6 +231,28 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdef \n") for _ in range(n))
+    shared, head = noise(400), noise(220)
+    rows = [(None, noise(2000) + shared[:300] + noise(90)), (None, shared[100:260]), (None, noise(60) + shared[150:]), (4, shared[50:350]), (4, noise(700) + shared[:250] + noise(300))]
+    rows += [(None, noise(20) + head[:180]), (7, head + noise(40)), (7, head + noise(900)), (7, head + noise(41))]
+    first = {}
+    places = [(-(2**63) if d is None else d, t.encode()) for d, t in rows]
+    for d, raw in places:
+        for k in range(len(raw) - 99):
+            first[raw[k : k + 100]] = min(first.get(raw[k : k + 100], (d, k)), (d, k))
+    want = []
+    for (d, _), (place, raw) in zip(rows, places, strict=True):
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if (place, k) > first[raw[k : k + 100]]:
+                gone[k : k + 100] = b"\1" * 100
+        want.append((str(d), len(raw), sum(gone), hashlib.sha256(bytes(x for x, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted(want)
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 8)).astype(np.float32)
