@@ -1,4 +1,4 @@
-"""Rules over tables that keep arriving: each micro-batch is scanned, findings are appended once per id."""
+"""Rules over tables that keep arriving: each micro-batch is scanned by itself, its findings go to a folder of its own."""
 
 from __future__ import annotations
 
