@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +14,8 @@ from gridwarden.runtime import ship_package
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: The characters that part words; ``bytes.split()`` parts at exactly these.
 WORD_GAPS = " \t\n\x0b\x0c\r"
-#: Rows in an Arrow batch sent to Python: texts are long, so batches are short.
-ARROW_ROWS = 256
+#: Rows and bytes in an Arrow batch sent to Python: texts are long, so batches are short.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 #: A table may be broadcast below this many rows and characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 4_000_000
 #: Ids or band keys may be broadcast up to this many: 8 bytes each.
@@ -36,9 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """This package on the workers, and short Arrow batches, so that a batch of long texts stays small in a Python worker."""
+    """This package on the workers, and short Arrow batches, so that a batch of long texts stays small in a Python worker.
+
+    Spark deletes the shuffle files of a query once it has ended: every step here ends in a written table, so no later
+    one reads them, and they don't pile up until the driver collects its garbage.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -58,7 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_stored(*tables: DataFrame) -> None:
-    """Deletes tables that stored() made and nothing reads any more, and lets Spark clean up shuffle files behind dropped plans."""
+    """Deletes tables that stored() made and nothing reads any more."""
     for df in tables:
         path = getattr(df, "_gridwarden_path", None)
         if path:
@@ -67,13 +71,6 @@ def drop_stored(*tables: DataFrame) -> None:
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Shuffle files of finished steps are deleted once the driver has collected its garbage; without this they pile up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)  # the cleaner works beside us
-
-
 def small_enough(df: DataFrame, text_col: str | None = None) -> bool:
     """Whether df is within the broadcast bound, by counting it."""
     chars = F.sum(F.length(text_col)) if text_col else F.lit(0)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAPS, bounded_ids, drop_stored, prepare, stored, sweep
+from .common import WORD_GAPS, bounded_ids, drop_stored, prepare, stored
 from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
 from .minhash import joined_pairs
 
@@ -120,14 +120,11 @@ def removals(docs: DataFrame, id_col: str, text_col: str, share: int = SHARE) ->
     lines = stored(sketched_lines(plain), "lines-sketch")
     first = lines.groupBy("h").agg(F.min(F.struct("doc", "line", "row", "keys")).alias("x"), F.count(F.lit(1)).alias("n"))
     nodes = stored(first.select("h", "x.doc", "x.line", "x.row", "x.keys", "n").withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
-    sweep(spark)
     members = stored(shared_buckets(banded(nodes)), "lines-buckets")
-    sweep(spark)
     ids = stored(members.select("id").distinct(), "lines-ids")
     at = stored(nodes.select("id", "doc", "line", "row").join(bounded_ids(ids), "id"), "lines-places")
     texts = plain.join(bounded_ids(at.select("doc", "row").distinct()), ["doc", "row"]).select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     texts = stored(at.join(texts, ["doc", "row", "line"]).select("id", "text"), "lines-texts")
-    sweep(spark)
 
     def similar_lines(x: pd.Series, y: pd.Series) -> pd.Series:
         sets = {line: line_set(line) for line in {*x, *y}}  # a star's centre is in many pairs of a batch

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, drop_stored, stored, sweep
+from .common import bounded_ids, drop_stored, stored
 from .components import components
 
 #: Members of a bucket that one task compares with each other.
@@ -56,7 +56,6 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], remaining
         edges = found if edges is None else edges.unionByName(found)
         drop_stored(left)
         comp = stored(components(edges), "link-components")
-        sweep(spark)
     else:
         left = stored(unsettled(with_components(members, comp)), "link-left")
         n_left = left.count()
@@ -64,7 +63,6 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], remaining
         found = stored(remaining(unsettled(left.select("k", "id", "c"))), "link-edges")
         edges = found if edges is None else edges.unionByName(found)
         comp = stored(components(edges), "link-components")
-        sweep(spark)
     return comp if comp is not None else members.select("id", F.col("id").alias("component")).limit(0)
 
 

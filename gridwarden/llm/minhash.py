@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, drop_stored, prepare, stored, sweep
+from .common import bounded_ids, drop_stored, prepare, stored
 from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
 
 WIDTH = 5
@@ -102,7 +102,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = table.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     nodes = stored(usable.groupBy("key").agg(F.min(F.struct("id", "sig")).alias("n")).select("key", "n.id", "n.sig"), "minhash-nodes")
     members = stored(shared_buckets(banded(nodes)), "minhash-buckets")
-    sweep(spark)
     ids = stored(members.select("id").distinct(), "minhash-ids")
     sigs = stored(nodes.select("id", "sig").join(bounded_ids(ids), "id"), "minhash-signatures")
     wanted = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(bounded_ids(ids), "id")
@@ -111,7 +110,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
     sets = stored(wanted.select("id", F.pandas_udf(as_set, "binary")("text").alias("set")), "minhash-sets")
-    sweep(spark)
 
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean() for a, b in zip(x, y, strict=True)], dtype="float64")

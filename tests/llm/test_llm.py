@@ -365,3 +365,35 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         seen.append((docs.count(), docs.columns))
     assert all(c == columns for _, c in seen[:-1]) and all(n for n, _ in seen) and seen[2][0] <= seen[1][0] <= seen[0][0]
+
+
+def test_suffix_dedup_of_hot_triggers_and_long_texts(spark):
+    """More phrases of a trigger than one task takes, and a text longer than a part: as brute force."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    shared = noise(130)
+    long = noise(suffix_dedup.PART - 150) + shared + noise(300)
+    rows = [(i, noise(90) + shared + noise(90)) for i in range(40)] + [(50, long), (51, noise(40) + long[-500:])]
+    seen, want = {}, {}
+    for d, t in rows:
+        raw, gone = t.encode(), bytearray(len(t))
+        for k in range(len(raw) - 99):
+            if seen.setdefault(raw[k : k + 100], (d, k)) != (d, k):
+                gone[k : k + 100] = b"\1" * 100
+        want[d] = (len(raw), sum(gone), hashlib.sha256(bytes(x for x, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"g": F.lit(1), "th": F.lit(2), "p": F.lit(3), "doc": F.lit(4), "marks": F.lit(5)})
+    for hot in (suffix_dedup.HOT, 5):
+        got = suffix_dedup.remove_repeats(df, hot=hot, with_text=True).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+        assert all(hashlib.sha256(r["kept_bytes"]).hexdigest() == r["kept_sha256"] for r in got)
+
+
+def test_suffix_arrays_of_a_group():
+    """Two rows are in one class at a depth just if they agree in so many bytes."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 2, (60, 12)).astype(np.uint8)
+    order, shared = suffix_dedup.sorted_suffixes(keys)
+    assert [bytes(keys[i]) for i in order] == sorted(map(bytes, keys))
+    for depth in range(13):
+        c = suffix_dedup.classes(order, shared, depth)
+        assert all((c[i] == c[j]) == (bytes(keys[i][:depth]) == bytes(keys[j][:depth])) for i in range(60) for j in range(60))
