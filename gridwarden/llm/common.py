@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.runtime import ship_package
 
-#: A word of a text: a run of characters outside space and U+0009..U+000D.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: The characters that part words; ``bytes.split()`` parts at exactly these.
+#: The characters that part words, space and U+0009..U+000D; ``bytes.split()`` parts at exactly these.
 WORD_GAPS = " \t\n\x0b\x0c\r"
 #: Rows and bytes in an Arrow batch sent to Python: texts are long, so batches are short.
 ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
@@ -89,8 +87,21 @@ def bounded_ids(ids: DataFrame) -> DataFrame:
 
 
 def word_count(col) -> Column:
-    """Number of words of a text column; null counts as no words."""
-    return F.coalesce(F.regexp_count(col, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    """Number of words of a text column; null counts as no words. Each word with the gap after it becomes one character."""
+    without = F.regexp_replace(F.ltrim(col, F.lit(WORD_GAPS)), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.coalesce(F.length(without), F.lit(0)).cast("long")
+
+
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """Column names made of those wanted that aren't among those taken, in any case."""
+    lower, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name in lower:
+            name = f"_{name}"
+        lower.add(name)
+        out.append(name)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,10 +61,14 @@ def test_mixing(spark, docs, rows):
     for r in got:
         taken[r["source"]] += r["taken"]
         assert 0 <= r["taken"] <= 2 * r["size"] and abs(r["target"] - target[r["source"]]) < 1e-6
-    assert all(0 <= target[s] - taken[s] < 1 for s in names)
+    assert all(0 <= target[s] - taken[s] < 2 for s in names)  # (0, base[0]) is there twice, and less than one word is lost by each
+    assert sum(target[s] - taken[s] >= 1 for s in names) <= 1
     again = mixing.mix(docs.repartition(3), bucket_rows=7).select("doc_id", "mix.taken").collect()
     assert sorted(map(tuple, again)) == sorted((r["doc_id"], r["taken"]) for r in got)
-    mixed = mixing.apply_mix(mixing.mix(docs, bucket_rows=7, out_col="m"), mix_col="m")
+    clashing = docs.withColumns({c: F.lit(1) for c in ("target", "source_size", "size", "taken", "key", "rank", "rows", "bucket", "cut", "part", "epochs", "__cut", "__size", "__key", "__epoch", "__words")})
+    other = mixing.mix(clashing, bucket_rows=7).collect()
+    assert sorted((r["doc_id"], r["mix"]["taken"]) for r in other) == sorted((r["doc_id"], r["taken"]) for r in got) and {r["__key"] + r["target"] for r in other} == {2}
+    mixed = mixing.apply_mix(mixing.mix(clashing, bucket_rows=7, out_col="m"), mix_col="m")
     assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(taken.values())
     assert mixing.mix(docs.limit(0)).count() == 0
 
