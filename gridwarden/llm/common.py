@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from gridwarden.runtime import ship_package
 #: The characters that part words, space and U+0009..U+000D; ``bytes.split()`` parts at exactly these.
 WORD_GAPS = " \t\n\x0b\x0c\r"
 #: Rows and bytes in an Arrow batch sent to Python: texts are long, so batches are short.
-ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
+ARROW_ROWS, ARROW_BYTES = 2_048, 2 << 20
 #: A table may be broadcast below this many rows and characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 4_000_000
 #: Ids or band keys may be broadcast up to this many: 8 bytes each.
@@ -50,7 +53,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridwarden/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # hashes and ids: no value repeats often
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -81,9 +84,31 @@ def maybe_broadcast(df: DataFrame, text_col: str | None = None) -> DataFrame:
     return F.broadcast(df) if small_enough(df, text_col) else df
 
 
-def bounded_ids(ids: DataFrame) -> DataFrame:
-    """A table of one or two longs, with a broadcast hint if its rows are few enough."""
-    return F.broadcast(ids) if ids.count() <= ID_ROWS else ids
+def bounded_ids(ids: DataFrame, most: int = ID_ROWS) -> DataFrame:
+    """A table of a few longs, with a broadcast hint if its rows are few enough."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches that arrive sorted by long keys, as larger ones of about so many rows that end where a group does."""
+    waiting, held, goal = [], 0, rows
+    for batch in batches:
+        waiting.append(batch)
+        held += batch.num_rows
+        if held < goal:
+            continue
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        same = np.ones(len(table), bool)
+        for k in keys:
+            own = table.column(k).to_numpy()
+            same &= own == own[-1]
+        cut = len(table) - int(same.sum())
+        if cut:
+            yield table.slice(0, cut).combine_chunks().to_batches()[0]
+        waiting, held = table.slice(cut).to_batches(), len(table) - cut
+        goal = max(rows, 2 * held)  # a large group is not looked through with each batch
+    if held:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
 
 def word_count(col) -> Column:

@@ -16,18 +16,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAPS, bounded_ids, drop_stored, prepare, stored
-from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
-from .minhash import joined_pairs
+from .common import WORD_GAPS, bounded_ids, drop_stored, fresh, prepare, stored
+from .linking import agreeing, band_keys, joined_pairs, link, mixed, remaining_edges, shared_buckets, similar
 
 #: Characters of a shingle; bands and minima of each: a pair of similarity 0.8 is missed with a probability of 2.5e-6.
 WIDTH, BANDS, ROWS = 8, 18, 3
 SHARE = 80
+#: A pair of similarity 0.8 agrees in fewer of the 54 minima than this share with a probability of 2e-6.
+SIGNATURE_LEAST = 0.53
 _RNG = np.random.default_rng(29)
 #: WIDTH is a power of two: the hash of a shingle is made of those of its halves, with a factor for each doubling.
 _HALF = _RNG.integers(1, 1 << 62, WIDTH.bit_length() - 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: Components whose heads may be broadcast, so that a large one isn't one task's: 32 bytes each.
+HEAD_ROWS = 200_000
 #: Characters whose shingles are hashed at once: they stay in a core's cache.
 CHUNK = 1 << 14
 
@@ -52,8 +55,11 @@ def line_set(line: str) -> np.ndarray:
 
 
 def line_signatures(lines: list[str]) -> np.ndarray:
-    """The least values of the universal hashes a x + b modulo 2^32, a row for each line; many lines at a time."""
-    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
+    """The least values of the universal hashes a x + b modulo 2^32, a row for each line; many lines at a time.
+
+    Their lower halves are kept: equal minima have equal ones, others in one case of 65,536.
+    """
+    out = np.empty((len(lines), BANDS * ROWS), np.uint16)
     at = 0
     while at < len(lines):
         own, size = [], 0
@@ -70,86 +76,145 @@ def line_signatures(lines: list[str]) -> np.ndarray:
         for k in range(BANDS * ROWS):
             np.multiply(x, _A[k], out=h)
             np.add(h, _B[k], out=h)
-            out[at : at + len(own), k] = np.minimum.reduceat(h, starts)
+            out[at : at + len(own), k] = np.minimum.reduceat(h, starts).astype(np.uint16)
         at += len(own)
     return out
 
 
-def sketched_lines(docs: DataFrame) -> DataFrame:
-    """For docs(doc, row, text): a row (doc, row, line, h, keys) for each line with a word; keys are its packed band keys."""
+def lines_of(text: str | None) -> list[tuple[int, str]]:
+    """The lines with a word, and their numbers from 0."""
+    return [(j, line) for j, line in enumerate((text or "").split("\n")) if line.strip(WORD_GAPS)]
+
+
+def hashes(lines: list[str]) -> np.ndarray:
+    """128 bits of each line, in two columns."""
+    return np.frombuffer(b"".join([xxhash.xxh128_digest(x.encode("utf-8", "surrogatepass")) for x in lines]), np.int64).reshape(-1, 2)
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """For docs(doc, th, text): a row (doc, th, line, h1, h2) for each line with a word, its 128-bit hash in two."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owner, number = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                for j, line in enumerate((text or "").split("\n")):
-                    if line.strip(WORD_GAPS):
-                        found.append(line)
-                        owner.append(i)
-                        number.append(j)
+            found = [(i, j, line) for i, text in enumerate(batch.column(2).to_pylist()) for j, line in lines_of(text)]
             if found:
-                keys = band_keys(line_signatures(found), BANDS)
-                hashes = [xxhash.xxh128_digest(x.encode("utf-8", "surrogatepass")) for x in found]
-                at = pa.array(owner)
-                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(hashes, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "row", "line", "h", "keys"])
+                owner, number, lines = zip(*found, strict=True)
+                h, at = hashes(lines), pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "th", "line", "h1", "h2"])
+
+    return docs.select("doc", "th", "text").mapInArrow(rows, "doc long, th long, line int, h1 long, h2 long")
 
-    return docs.select("doc", "row", "text").mapInArrow(rows, "doc long, row int, line int, h binary, keys binary")
 
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """For docs(doc, th, text): a row (h1, h2, doc, line, th, n, sig) for each distinct line with a word: where it comes
+    first, how often it occurs, and its signature.
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """(k, id): a row for each band of nodes(id, keys)."""
+    Lines are counted within each batch first, so a line of very many documents is one row for each batch. Their
+    rows are then sorted, not gathered: a task holds one line at a time.
+    """
+    names = ["h1", "h2", "doc", "line", "th", "n", "sig"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["k", "id"])
+            found = [(i, j, line) for i, text in enumerate(batch.column(2).to_pylist()) for j, line in lines_of(text)]
+            if found:
+                owner, number, lines = zip(*found, strict=True)
+                h, line = hashes(lines), np.array(number, np.int32)
+                doc, th = (batch.column(i).to_numpy(zero_copy_only=False)[list(owner)] for i in (0, 1))
+                order = np.lexsort((th, line, doc, h[:, 1], h[:, 0]))
+                head = np.r_[True, (h[order[1:]] != h[order[:-1]]).any(1)]
+                first, n = order[head], np.diff(np.r_[np.flatnonzero(head), len(order)])
+                sigs = line_signatures([lines[i] for i in first.tolist()])
+                cols = [h[first, 0], h[first, 1], doc[first], line[first], th[first], n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([x.tobytes() for x in sigs], pa.binary())], names=names)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # lines of the last h1 so far, whose counts may grow
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks()
+            h1, h2, doc, line, th, n = (table.column(c).to_numpy() for c in names[:-1])
+            order = np.lexsort((th, line, doc, h2, h1))
+            head = np.flatnonzero(np.r_[True, (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])])
+            own = table.take(pa.array(order[head])).set_column(5, "n", pa.array(np.add.reduceat(n[order], head)))
+            own = own.combine_chunks().to_batches()[0]
+            last = int(np.searchsorted(h1[order[head]], h1[order[-1]]))
+            held = own.slice(last)
+            yield own.slice(0, last)
+        if held:
+            yield held
 
-    return nodes.select("id", "keys").mapInArrow(rows, "k long, id long")
+    schema = "h1 long, h2 long, doc long, line int, th long, n long, sig binary"
+    counted = docs.select("doc", "th", "text").mapInArrow(rows, schema)
+    return counted.repartition("h1").sortWithinPartitions("h1").mapInArrow(heads, schema)
+
+
+def signature_keys(signatures: pa.Array) -> np.ndarray:
+    return band_keys(np.frombuffer(b"".join(signatures.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS), BANDS)
+
+
+def line_texts(docs: DataFrame) -> DataFrame:
+    """(id, text): the lines asked for of docs(doc, th, text, wanted), wanted a list of (line, id)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = [], []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = text.split("\n")
+                line, own = (wanted.values.field(i).to_pylist() for i in (0, 1))
+                ids += own
+                out += [lines[j] for j in line]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
+
+    return docs.select("text", "wanted").mapInArrow(rows, "id long, text string")
 
 
 def removals(docs: DataFrame, id_col: str, text_col: str, share: int = SHARE) -> DataFrame:
-    """(doc, row, gone): for each document that loses lines, the numbers of those, from 0.
+    """(doc, th, gone): for each document that loses lines, the numbers of those, from 0, in order.
 
-    row tells texts of one id apart; doc stands for a null id with the least long.
+    th tells texts of one id apart; doc stands for a null id with the least long.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     plain = keyed(docs, id_col, text_col)
-    lines = stored(sketched_lines(plain), "lines-sketch")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc", "line", "row", "keys")).alias("x"), F.count(F.lit(1)).alias("n"))
-    nodes = stored(first.select("h", "x.doc", "x.line", "x.row", "x.keys", "n").withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
-    members = stored(shared_buckets(banded(nodes)), "lines-buckets")
+    place = F.struct("doc", "line", "th")
+    nodes = stored(distinct_lines(plain).withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
+    members = stored(shared_buckets(nodes.select("id", "sig"), signature_keys, BANDS), "lines-buckets")
     ids = stored(members.select("id").distinct(), "lines-ids")
-    at = stored(nodes.select("id", "doc", "line", "row").join(bounded_ids(ids), "id"), "lines-places")
-    texts = plain.join(bounded_ids(at.select("doc", "row").distinct()), ["doc", "row"]).select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    texts = stored(at.join(texts, ["doc", "row", "line"]).select("id", "text"), "lines-texts")
+    sigs = stored(nodes.select("id", "sig").join(bounded_ids(ids), "id"), "lines-signatures")
+    wanted = nodes.select("id", "doc", "line", "th").join(bounded_ids(ids), "id").groupBy("doc", "th").agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
+    texts = stored(line_texts(plain.join(wanted, ["doc", "th"])), "lines-texts")
 
     def similar_lines(x: pd.Series, y: pd.Series) -> pd.Series:
         sets = {line: line_set(line) for line in {*x, *y}}  # a star's centre is in many pairs of a batch
         return pd.Series([similar(sets[a], sets[b], share) for a, b in zip(x, y, strict=True)], dtype=bool)
 
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        return agreeing(x, y, np.uint16)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return joined_pairs(pairs, texts, "text").where(F.pandas_udf(similar_lines, "boolean")("x", "y")).select("a", "b").distinct()
+        close = joined_pairs(pairs, sigs, "sig").where(F.pandas_udf(agree, "double")("x", "y") >= SIGNATURE_LEAST).select("a", "b")
+        close = stored(close, "lines-close")
+        return joined_pairs(close, texts, "text").where(F.pandas_udf(similar_lines, "boolean")("x", "y")).select("a", "b").distinct()
 
     def remaining(rows: DataFrame) -> DataFrame:
-        return remaining_edges(rows.join(texts.withColumnRenamed("text", "s"), "id"), line_set, line_signatures, BANDS, share, 0.45)
+        return remaining_edges(rows.join(sigs, "id"), texts.select("id", F.col("text").alias("s")), line_set, np.uint16, BANDS, share, SIGNATURE_LEAST)
 
     comp = link(members, verify, remaining)
-    drop_stored(members)
-    place = F.struct("doc", "line", "row")
-    linked = nodes.join(comp, "id")
-    heads = linked.groupBy("component").agg(F.min(place).alias("head"))
-    classes = nodes.join(comp, "id", "left").join(heads, "component", "left").select("h", F.coalesce("head", place).alias("head"), (F.col("n") > 1).alias("many"), F.col("component").isNotNull().alias("fuzzy"))
-    classes = stored(classes.where(F.col("many") | F.col("fuzzy")).select("h", "head"), "lines-classes")
-    gone = lines.select("doc", "row", "line", "h").join(classes, "h").where(F.struct("doc", "line", "row") != F.col("head"))
-    return gone.groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    drop_stored(members, texts)
+    narrow = nodes.drop("sig")
+    heads = narrow.join(comp, "id").groupBy("component").agg(F.min(place).alias("head"))
+    classes = narrow.join(comp, "id", "left").join(bounded_ids(stored(heads, "lines-heads"), HEAD_ROWS), "component", "left")
+    classes = classes.where((F.col("n") > 1) | F.col("component").isNotNull()).select("h1", "h2", F.coalesce("head", place).alias("head"))
+    classes = stored(classes, "lines-classes")
+    drop_stored(nodes)
+    gone = hashed_lines(plain).join(classes, ["h1", "h2"]).where(F.struct("doc", "line", "th") != F.col("head"))
+    return gone.groupBy("doc", "th").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    return docs.select(F.coalesce(id_, F.lit(-(2**63))).alias("doc"), F.hash(text).alias("row"), text.alias("text"))
+    return docs.select(F.coalesce(id_, F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
@@ -159,16 +224,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their sets of 8-character shingles (a shorter line is one shingle, padded) have a similarity of share / 100 or more.
     Of a component the line that occurs first, by id and place, stays. Null texts stay null, with 0 lines, and empty ones
     empty; a null id comes before all others. Repeated rows, equal in id and text, are one document and share their fate.
-    Columns n_lines and n_gone are replaced, others are kept. An empty table gives an empty result.
+    Columns n_lines and n_gone are replaced, others are kept, whatever their names. An empty table gives an empty result.
     """
-    gone = stored(removals(docs, id_col, text_col, share), "lines-gone")
+    found = stored(removals(docs, id_col, text_col, share), "lines-gone")
     text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
-    tagged = docs.drop("n_lines", "n_gone").withColumns({"__doc": F.coalesce(id_, F.lit(-(2**63))), "__row": F.hash(text)})
-    marked = tagged.join(gone.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "gone"), ["__doc", "__row"], "left")
-    lines = F.split(text, "\n")
-    flags = F.map_from_arrays(F.col("gone"), F.col("gone"))
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.map_contains_key("__gone", s["i"]))
-    new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(left, lambda s: s["x"]), "\n"))
-    out = marked.withColumn("__gone", flags).withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_gone": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "__new": new})
-    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long"))).withColumn("n_gone", F.greatest("n_gone", F.lit(0).cast("long")))
-    return out.withColumn(text_col, F.col("__new")).drop("__doc", "__row", "__gone", "__new", "gone")
+    doc, th, gone = fresh(docs.columns, "doc", "th", "gone")
+    tagged = docs.drop("n_lines", "n_gone").withColumns({doc: F.coalesce(id_, F.lit(-(2**63))), th: F.xxhash64(text)})
+    marked = tagged.join(found.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("gone").alias(gone)), [doc, th], "left")
+
+    @F.pandas_udf("text string, n_lines long")
+    def without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        new, n = [], []
+        for text, own in zip(texts, gone, strict=True):
+            n.append(text.count("\n") + 1 if text is not None else 0)
+            if own is None:
+                new.append(None)
+            else:
+                lines, drop = text.split("\n"), set(own.tolist())
+                new.append("\n".join([x for i, x in enumerate(lines) if i not in drop]))
+        return pd.DataFrame({"text": pd.Series(new, dtype=object), "n_lines": pd.Series(n, dtype="int64")})
+
+    (new,) = fresh([*docs.columns, doc, th, gone], "new")
+    marked = marked.withColumn(new, without(text, F.col(gone)))
+    left = F.when(F.col(gone).isNull(), text).otherwise(F.col(f"{new}.text"))
+    counts = {"n_lines": F.col(f"{new}.n_lines"), "n_gone": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")}
+    names = [c for c in docs.columns if c not in counts]
+    return marked.select(*[(left.alias(c) if c == text_col else F.col(f"`{c}`")) for c in names], *[x.alias(c) for c, x in counts.items()])

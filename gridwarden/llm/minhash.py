@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_ids, drop_stored, prepare, stored
-from .linking import band_keys, link, mixed, remaining_edges, shared_buckets, similar
+from .linking import agreeing, band_keys, joined_pairs, link, mixed, remaining_edges, shared_buckets, similar
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
@@ -69,24 +69,8 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.mapInArrow(rows, "id long, n_shingles long, key binary, sig binary")
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """(k, id): a row for each band of nodes(id, sig)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = band_keys(np.stack([np.frombuffer(s, np.uint32) for s in batch.column(1).to_pylist()]), BANDS)
-                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["k", "id"])
-
-    return nodes.select("id", "sig").mapInArrow(rows, "k long, id long")
-
-
-def joined_pairs(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """pairs(a, b) with the column of both ends, as x and y."""
-    left = table.select(F.col("id").alias("a"), F.col(column).alias("x"))
-    right = table.select(F.col("id").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b")
+def signature_keys(signatures: pa.Array) -> np.ndarray:
+    return band_keys(np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(-1, MINIMA), BANDS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
@@ -101,7 +85,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = stored(sketched(docs, id_col, text_col), "minhash-sketch")
     usable = table.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     nodes = stored(usable.groupBy("key").agg(F.min(F.struct("id", "sig")).alias("n")).select("key", "n.id", "n.sig"), "minhash-nodes")
-    members = stored(shared_buckets(banded(nodes)), "minhash-buckets")
+    members = stored(shared_buckets(nodes.select("id", "sig"), signature_keys, BANDS), "minhash-buckets")
     ids = stored(members.select("id").distinct(), "minhash-ids")
     sigs = stored(nodes.select("id", "sig").join(bounded_ids(ids), "id"), "minhash-signatures")
     wanted = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(bounded_ids(ids), "id")
@@ -112,7 +96,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(wanted.select("id", F.pandas_udf(as_set, "binary")("text").alias("set")), "minhash-sets")
 
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).mean() for a, b in zip(x, y, strict=True)], dtype="float64")
+        return agreeing(x, y, np.uint32)
 
     def similar_sets(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), share) for a, b in zip(x, y, strict=True)], dtype=bool)
@@ -123,8 +107,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return joined_pairs(close, sets, "set").where(F.pandas_udf(similar_sets, "boolean")("x", "y")).select("a", "b").distinct()
 
     def remaining(rows: DataFrame) -> DataFrame:
-        with_sets = rows.join(sets.withColumnRenamed("set", "s"), "id")
-        return remaining_edges(with_sets, lambda s: np.frombuffer(s, np.uint64), lambda x: np.stack([signature(np.frombuffer(s, np.uint64)) for s in x]), BANDS, share, SIGNATURE_LEAST)
+        contents = sets.select("id", F.col("set").alias("s"))
+        return remaining_edges(rows.join(sigs, "id"), contents, lambda s: np.frombuffer(s, np.uint64), np.uint32, BANDS, share, SIGNATURE_LEAST)
 
     comp = link(members, verify, remaining)
     by_key = stored(nodes.join(comp, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")), "minhash-classes")

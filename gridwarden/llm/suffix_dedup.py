@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, drop_stored, prepare, stored
+from .common import bounded_ids, drop_stored, prepare, stored, whole_groups
 from .linking import mixed
 
 LENGTH, TRIGGER, GRAM = 100, 40, 16
@@ -208,28 +208,10 @@ def shared_strings(texts: DataFrame) -> DataFrame:
     """(doc, th, m): marks of repeated strings in phrases (g, doc, th, p, raw), brought together by trigger and sorted."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(waiting).combine_chunks()
-            g = table.column(0).to_numpy()
-            cut = len(g) if last else int(np.searchsorted(g, g[-1])) if len(g) else 0
-            waiting[:] = table.slice(cut).to_batches()
-            if cut:
-                own = table.slice(0, cut).combine_chunks().to_batches()[0]
-                doc, th, p = (own.column(i).to_numpy() for i in (1, 2, 3))
-                row, s, n = repeated_strings(own.column(0).to_numpy(), doc, p, own.column(4))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(th[row]), pa.array(s << 6 | n)], names=["doc", "th", "m"])
-
-        held = 0
-        for batch in batches:
-            waiting.append(batch)
-            held += batch.num_rows
-            if held >= BLOCK:
-                yield from ready(False)
-                held = sum(b.num_rows for b in waiting) // 2  # what is left of a large group is not tried with each batch
-        if waiting:
-            yield from ready(True)
+        for own in whole_groups(batches, ["g"], BLOCK):
+            doc, th, p = (own.column(i).to_numpy() for i in (1, 2, 3))
+            row, s, n = repeated_strings(own.column(0).to_numpy(), doc, p, own.column(4))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(th[row]), pa.array(s << 6 | n)], names=["doc", "th", "m"])
 
     return texts.repartition("g").sortWithinPartitions("g").mapInArrow(rows, "doc long, th long, m long")
 
