@@ -16,7 +16,7 @@ from gridwarden.runtime import ship_package
 #: The characters that part words, space and U+0009..U+000D; ``bytes.split()`` parts at exactly these.
 WORD_GAPS = " \t\n\x0b\x0c\r"
 #: Rows and bytes in an Arrow batch sent to Python: texts are long, so batches are short.
-ARROW_ROWS, ARROW_BYTES = 2_048, 2 << 20
+ARROW_ROWS, ARROW_BYTES = 1_024, 1 << 20
 #: A table may be broadcast below this many rows and characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 4_000_000
 #: Ids or band keys may be broadcast up to this many: 8 bytes each.

@@ -23,7 +23,7 @@ from .components import components
 #: Members of a bucket that are compared with each other without further stars, and that one task compares at most.
 FEW, BLOCK = 50, 1_000
 #: Keys that a task sees, and that a task packs at once.
-TASK_KEYS, DEAL_KEYS = 2_000_000, 500_000
+TASK_KEYS, DEAL_KEYS = 1_000_000, 300_000
 #: Rows of groups, and pairs of them, that a task looks at in one go.
 GROUP_ROWS, PAIRS = 8_000, 20_000
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import drop_stored, prepare, stored
 
 PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
-#: Space-separated chunks of text whose token ids a Python worker keeps: about 100 MB.
-CACHE_CHUNKS = 3_000_000
+#: Space-separated chunks of text whose token ids a Python worker keeps: about 40 MB. Characters that it encodes at once.
+CACHE_CHUNKS, ENCODE_CHARS = 1_000_000, 250_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -128,6 +128,15 @@ class Encoder:
         return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        out, begin, size = [], 0, 0
+        for end, t in enumerate(texts, 1):
+            size += len(t)
+            if size >= ENCODE_CHARS or end == len(texts):
+                out += self._encoded(texts[begin:end])
+                begin, size = end, 0
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         usual, heads, tails = [], [], []
         for i, t in enumerate(texts):
@@ -151,7 +160,7 @@ class Encoder:
         n = len(raw)
         if n > self.powers.shape[1]:
             inverse = pow(self.base, -1, 1 << 64)
-            self.powers = np.stack([np.cumprod(np.r_[np.uint64(1), np.full(2 * n, b, np.uint64)]) for b in (self.base, inverse)])
+            self.powers = np.stack([np.cumprod(np.r_[np.uint64(1), np.full(n + n // 4, b, np.uint64)]) for b in (self.base, inverse)])
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.letter[raw] * self.powers[0, :n], out=sums[1:])
         h = (sums[end] - sums[begin]) * self.powers[1, begin]

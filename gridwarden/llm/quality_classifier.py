@@ -20,11 +20,10 @@ from .learning import held_out, labelled
 
 #: Word buckets, bins of a statistic, and rank of the interactions.
 BUCKETS, BINS, RANK = 1 << 14, 12, 8
-STATS = ("words", "chars", "mean_word", "upper", "symbols", "bangs", "digits", "pipes", "other", "distinct", "pairs", "top_word", "lines", "dup_lines", "n_chars")
+STATS = ("words", "chars", "mean_word", "upper", "symbols", "bangs", "digits", "pipes", "other", "distinct", "pairs", "long_word", "lines", "dup_lines", "n_chars")
 WIDTH = BUCKETS + BINS * len(STATS)
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6_000
-_BUCKET: dict[bytes, int] = {}
 
 
 def text_features(text: str | None, n_chars: float | None) -> np.ndarray:
@@ -33,19 +32,17 @@ def text_features(text: str | None, n_chars: float | None) -> np.ndarray:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.lower().split()
     n, size = len(words), max(1, len(text))
-    if len(_BUCKET) > 500_000:
-        _BUCKET.clear()
     distinct = set(words)
-    own = np.fromiter((b if (b := _BUCKET.get(w)) is not None else _BUCKET.setdefault(w, zlib.crc32(w) % BUCKETS) for w in distinct), np.int64, len(distinct))
+    own = np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct)) % BUCKETS
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
     of = lambda chars: counts[np.frombuffer(chars, np.uint8)].sum() / size
     lines = [x for x in text.split("\n") if x.strip(WORD_GAPS)]
     step = max(1, n)
     pairs = len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)
-    most = words.count(max(distinct, key=lambda w: (len(w), w))) if distinct else 0
+    longest = words.count(max(distinct, key=lambda w: (len(w), w))) if distinct else 0  # how often the longest word occurs
     values = (
         math.log2(n + 1) / 14, math.log2(size) / 18, len(raw) / step / 16, of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 2, of(b"#*$%&<>@^~") * 5, of(b"!?") * 10, of(b"0123456789") * 5,
-        of(b"|") * 20, counts[128:].sum() / size, len(distinct) / step, pairs, most / step, len(lines) / step * 5, 1 - len(set(lines)) / max(1, len(lines)), math.log2(max(n_chars or size, 0) + 1) / 18,
+        of(b"|") * 20, counts[128:].sum() / size, len(distinct) / step, pairs, longest / step, len(lines) / step * 5, 1 - len(set(lines)) / max(1, len(lines)), math.log2(max(n_chars or size, 0) + 1) / 18,
     )
     bins = [BUCKETS + BINS * j + min(BINS - 1, max(0, int(v * BINS))) for j, v in enumerate(values)]
     return np.concatenate([np.unique(own), np.array(bins, np.int64)]).astype(np.int32)
