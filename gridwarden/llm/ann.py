@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of distinct vectors. Of equal vectors only those that can be among a query's neighbours are
-posted, so copies neither crowd the files nor the share that is reranked. A vector is represented by its nearest pivots in order, and posted in the
-inverted files of the first of them. A query visits the files of its own nearest pivots, ranks what it finds there by
-footrule distance between the orders, and reranks the best share by exact distance.
+Pivots are a bounded sample of distinct vectors. A vector is represented by its nearest pivots in order. Vectors are
+dealt evenly to blocks; a block posts its vectors in an inverted file for each pivot, with the pivot's place in the
+vector's order. A query goes through the files of its own nearest pivots and adds up the footrule distance: how far the
+places of a pivot lie apart, and the length of the orders for a pivot that isn't in both. The vectors of a block with the
+least sum, a fixed share of it at every size, are reranked by exact distance; nothing else is measured exactly.
+
+Of equal vectors only those that can be among a query's neighbours are posted, so copies don't crowd the share that is
+reranked. A vector is moved once, a query once for each block.
 """
 
 from __future__ import annotations
@@ -12,21 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
 
-#: Pivots: one for so many vectors, and at most so many.
-VECTORS_PER_PIVOT, MOST_PIVOTS = 64, 48
-#: Pivots in an order; files that a vector is posted in and files that a query visits, as shares of the pivots.
-ORDER, POST, VISIT = 32, 0.25, 0.4
-#: Share of what a query finds in a file that is reranked by exact distance.
-RERANK = 0.5
-#: Vectors of a file that are reranked for each neighbour asked for, at least: small files are gone through whole.
-FEWEST = 100
-#: Vectors of a file, and queries on them, that one task holds.
-FILE_BLOCK, QUERY_BLOCK = 20_000, 2_000
+#: Pivots: one for so many vectors, and at most so many. Share of the pivots that an order holds.
+VECTORS_PER_PIVOT, MOST_PIVOTS, ORDER = 2, 256, 0.5
+#: Share of a block that is reranked by exact distance.
+RERANK = 0.2
+#: Vectors that a task holds as a block.
+BLOCK = 8_192
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -45,23 +46,46 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first."""
     d = ((x * x).sum(1)[:, None] - 2 * x @ pivots.T) + (pivots * pivots).sum(1)[None]
-    return np.argsort(d, axis=1, kind="stable")[:, :length]
-
-
-def ranks(order: np.ndarray, pivots: int) -> np.ndarray:
-    """Place of each pivot in each order; pivots that aren't in it come after all."""
-    out = np.full((len(order), pivots), order.shape[1], np.int16)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None].repeat(len(order), 0), 1)
-    return out
-
-
-def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: float = RERANK) -> DataFrame:
+    return np.argsort(d, axis=1, kind="stable")[:, :length].astype(np.int16)
+
+
+class Files:
+    """The inverted files of a block: for each pivot the rows whose order holds it, and its place there."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, pivots: int):
+        self.ids, self.vectors, self.length, self.measured = ids, vectors, order.shape[1], 0
+        by_pivot = np.argsort(order.ravel(), kind="stable")
+        self.starts = np.searchsorted(order.ravel()[by_pivot], np.arange(pivots + 1))
+        self.rows, self.places = by_pivot // self.length, (by_pivot % self.length).astype(np.int32)
+
+    def footrule(self, order: np.ndarray) -> np.ndarray:
+        """Footrule distance of each row's order to a query's, but for a constant: a pivot that both hold saves the most
+        that it could cost."""
+        out = np.zeros(len(self.ids), np.int32)
+        for place, p in enumerate(order.tolist()):
+            own = slice(self.starts[p], self.starts[p + 1])
+            out[self.rows[own]] += np.abs(self.places[own] - place) - (self.length - place) - (self.length - self.places[own])
+        return out
+
+    def nearest(self, query: int, vector: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest of what is reranked, which is k rows at least; the query's own row isn't."""
+        at = np.flatnonzero(self.ids != query)
+        take = max(k, int(np.ceil(share * len(at))))
+        if len(at) > take:
+            at = at[np.argpartition(self.footrule(order)[at], take - 1)[:take]]
+        self.measured += len(at)
+        d = distances(self.vectors[at], vector)
+        best = np.lexsort((self.ids[at], d))[:k]
+        return self.ids[at][best], d[best]
+
+
+def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each query, nearest first, ties to the smaller id.
 
-    query_ids: a condition on the id column that says which rows are queries. Rows with a null id, and null, empty,
-    zero or non-finite vectors, take no part; nor do vectors of another dimension than most have. Rows that repeat an
-    id and a vector count once. With few vectors there is one pivot, and the search is exhaustive. An empty table gives
-    an empty result.
+    query_ids: a condition on a column id, the id cast to long, that says which rows are queries. Rows with a null id,
+    and null, empty, zero or non-finite vectors, take no part; nor do vectors of another dimension than most have. Rows
+    that repeat an id and a vector count once. Other columns are not read, so their names can't clash. An empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -72,46 +96,45 @@ def nearest(vectors: DataFrame, query_ids, k: int = 10, id_col: str = "vec_id",
     sample = table.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id", "v").limit(int(max(1, min(MOST_PIVOTS, total // VECTORS_PER_PIVOT)))).collect()
     n_pivots = max(1, len(sample))
     pivots = spark.sparkContext.broadcast(np.array([r["v"] for r in sample], float).reshape(-1, dim))
-    length = min(ORDER, n_pivots)
-    post, visit = max(min(n_pivots, 8), round(POST * n_pivots)), max(min(n_pivots, 8), round(VISIT * n_pivots))
+    length, blocks = max(1, round(ORDER * n_pivots)), max(1, -(-total // block))
 
-    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ordered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy()).astype(float)
-                o = orders(x, pivots.value, max(length, visit))
-                yield pd.DataFrame({"id": pdf["id"], "q": pdf["q"], "v": [r.tobytes() for r in x], "o": [r.astype(np.int16).tobytes() for r in o[:, :length]], "near": list(o[:, :visit].astype(np.int32))})
-
-    is_query = F.coalesce(query_ids, F.lit(False))
-    index = stored(table.withColumn("q", is_query).select("id", "v", "q").mapInPandas(placed, "id long, q boolean, v binary, o binary, near array<int>"), "ann-index")
-    copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))  # of equal vectors no query has others than these among its k
-    posts = index.withColumn("copy", copy).where(F.col("copy") <= k + 1).select(F.explode(F.slice("near", 1, post)).alias("p"), "id", "v", "o")
-    asks = index.where("q").select(F.explode("near").alias("p"), F.col("id").alias("query"), F.col("v").alias("qv"), F.col("o").alias("qo"))
-    sizes = posts.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(FILE_BLOCK)).cast("int").alias("nb"))
-    askers = asks.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("nq"))
-    plan = F.broadcast(sizes.join(askers, "p"))  # at most a row for each pivot
-    files = posts.join(plan, "p").select("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("w"), "id", "v", "o")
-    visits = asks.join(plan, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.pmod(F.xxhash64("query"), F.col("nq")).cast("int").alias("w"), "query", "qv", "qo")
-
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(theirs):
-            x = np.stack([np.frombuffer(v) for v in mine["v"]])
-            r = ranks(np.stack([np.frombuffer(o, np.int16).astype(np.int64) for o in mine["o"]]), n_pivots)
-            ids = mine["id"].to_numpy()
-            take = max(FEWEST * k, int(np.ceil(rerank * len(ids))))
-            for query, qv, qo in zip(theirs["query"], theirs["qv"], theirs["qo"], strict=True):
-                q = np.frombuffer(qv)
-                at = np.flatnonzero(ids != query)
-                if len(at) > take:
-                    foot = np.abs(r[at] - ranks(np.frombuffer(qo, np.int16).astype(np.int64)[None], n_pivots)).sum(1)
-                    at = at[np.argpartition(foot, take)[:take]]
-                d = distances(x[at], q)
-                best = np.lexsort((ids[at], d))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    key = ("p", "b", "w")
-    found = files.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double").distinct()
+                yield pdf[["b", "q", "id"]].assign(v=[r.tobytes() for r in x], o=[r.tobytes() for r in orders(x, pivots.value, length)])
+
+    # Of equal vectors no query has others than these among its k.
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    posted = table.withColumn("copy", copy).where(F.col("copy") <= k + 1).select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.lit(False).alias("q"), "id", "v")
+    asked = table.where(F.coalesce(query_ids, F.lit(False))).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(True).alias("q"), "id", "v")
+    schema = "b int, q boolean, id long, v binary, o binary"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, files, now = [], None, None
+
+        def opened() -> Files:
+            ids, v, o = zip(*waiting, strict=True) if waiting else ([np.zeros(0, np.int64)], [b""], [b""])
+            waiting.clear()
+            return Files(np.concatenate(ids), np.frombuffer(b"".join(v)).reshape(-1, dim), np.frombuffer(b"".join(o), np.int16).reshape(-1, length), n_pivots)
+
+        for batch in batches:  # sorted: the vectors of a block, then the queries
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            found = []
+            for b, q, i, v, o in rows:
+                if b != now:
+                    waiting.clear()
+                    files, now = None, b
+                if not q:
+                    waiting.append((np.array([i]), v, o))
+                    continue
+                files = files or opened()
+                ids, d = files.nearest(i, np.frombuffer(v), np.frombuffer(o, np.int16), k, rerank)
+                found.append((np.full(len(ids), i), ids, d))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+
+    index = posted.unionByName(asked).mapInPandas(ordered, schema)
+    found = index.repartition("b").sortWithinPartitions("b", "q").mapInArrow(search, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

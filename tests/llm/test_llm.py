@@ -401,3 +401,22 @@ def test_suffix_arrays_of_a_group():
     for depth in range(13):
         c = suffix_dedup.classes(order, shared, depth)
         assert all((c[i] == c[j]) == (bytes(keys[i][:depth]) == bytes(keys[j][:depth])) for i in range(60) for j in range(60))
+
+
+def test_exact_distances_are_few():
+    """Footrule equals its definition, and fewer exact distances than vectors are measured for a query, with recall of 0.9."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    pivots = x[rng.choice(3000, 100, replace=False)]
+    order = ann.orders(x, pivots, 50)
+    files = ann.Files(np.arange(3000), x, order, 100)
+    place = np.full((3000, 100), 50)
+    np.put_along_axis(place, order.astype(np.int64), np.arange(50)[None].repeat(3000, 0), 1)
+    whole = np.abs(place - place[7]).sum(1)
+    assert len(set((whole - files.footrule(order[7])).tolist())) == 1
+    hits = 0
+    for q in range(0, 3000, 100):
+        got = files.nearest(q, x[q], order[q], 10, 0.2)[0]
+        d = ann.distances(x, x[q])
+        hits += len(set(got.tolist()) & set([i for i in np.lexsort((np.arange(3000), d)).tolist() if i != q][:10]))
+    assert files.measured <= 0.2 * 3000 * 30 + 30 and hits >= 0.9 * 300
