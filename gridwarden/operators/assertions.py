@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,29 @@ def no_findings(found: DataFrame, rules: list[str], name: str = "no_findings") -
 
 
 def thresholds(found: DataFrame, most: dict[str, int]) -> DataFrame:
-    """One row per severity: passed if it has at most so many findings."""
-    parts = []
-    for severity, n in most.items():
-        count = F.count(F.when(F.col("severity") == severity, 1))
-        parts.append(found.agg(count.alias("violations")).select(F.lit(f"max_{severity}_findings").alias("assertion"), (F.col("violations") <= n).alias("passed"), "violations"))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per severity: passed if it has at most so many findings. One aggregation for all."""
+    counts = found.agg(*[F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in most])
+    each = [F.struct(F.lit(f"max_{s}_findings").alias("assertion"), (F.col(s) <= n).alias("passed"), F.col(s).alias("violations")) for s, n in most.items()]
+    return counts.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def failed(name: str, reason: str, df: DataFrame) -> DataFrame:
+    """The row of an assertion that could not be evaluated: not passed, its violations unknown."""
+    return df.sparkSession.range(1).select(F.lit(f"{name}: {reason}").alias("assertion"), F.lit(False).alias("passed"), F.lit(None).cast("long").alias("violations"))
+
+
+def evaluated(checks: dict[str, Callable[[], DataFrame]], df: DataFrame) -> DataFrame:
+    """All checks, one row each; one that can't be planned, by a missing column for instance, fails with its reason and
+    doesn't stop the others."""
+    rows = []
+    for name, check in checks.items():
+        try:
+            rows.append(check())
+        except AnalysisException as e:
+            rows.append(failed(name, e.getCondition() or "error", df))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def total(cells: DataFrame, name: str, expected: float, tolerance: float = 0.0) -> DataFrame:
+    """Whether the numbers of cells(num) add up to what is expected; texts and blanks count nothing."""
+    return equals(cells.agg(F.coalesce(F.sum("num"), F.lit(0.0)).alias("x")), cells.sparkSession.range(1).select(F.lit(float(expected)).alias("x")), tolerance, name)

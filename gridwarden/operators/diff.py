@@ -44,3 +44,18 @@ def finding_sets(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def latest_by(df: DataFrame, by: list[str], *order) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") == 1).drop("__n")
+
+
+def map_changes(before: DataFrame, after: DataFrame, key: list[str], column: str) -> DataFrame:
+    """(key, entry, before, after): entries of a map column that differ, null-safe; an entry on one side only differs."""
+    rows = lambda df, side: df.select(*key, F.explode(column).alias("entry", side))
+    both = rows(before, "before").join(rows(after, "after"), [*key, "entry"], "full")
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def summarised(changes: DataFrame, by: list[str], most: int) -> DataFrame:
+    """(by, n, first): groups of changes(by, place) beyond `most` as one row each with their least places; smaller ones as they are."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("place"))
+    counted = changes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    first = changes.withColumn("__r", rank).where(F.col("__r") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("place")).alias("first"))
+    return counted.join(first, by)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,18 @@ WEIGHT = {"info": 1, "warning": 5, "error": 15, "critical": 35}
 
 @dataclass(frozen=True)
 class Waiver:
-    """All dimensions given must match, one pattern of each suffices. It is valid on its last day."""
+    """All dimensions given must match, one pattern of each suffices. It is valid on its last day. One without any
+    dimension would match everything and is refused."""
 
     rules: tuple[str, ...] = ()
     locations: tuple[str, ...] = ()
     expires: date | None = None
+    ids: tuple[str, ...] = ()
+    sheets: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if not (self.rules or self.locations or self.ids or self.sheets):
+            raise ValueError("a waiver names an id, a rule, a sheet or a location")
 
 
 def glob(pattern: str) -> str:
@@ -42,15 +50,12 @@ def glob(pattern: str) -> str:
 
 
 def matches(w: Waiver) -> Column:
-    out = F.lit(True)
-    if w.rules:
-        out = out & F.col("rule_id").isin(*w.rules)
-    if w.locations:
-        any_ = F.lit(False)
-        for p in w.locations:
-            any_ = any_ | F.coalesce(F.col("location").rlike(glob(p)), F.lit(False))
-        out = out & any_
-    return out
+    """Whether a finding(id, rule_id, location, and sheet if the waiver names one) is meant; a null place is none."""
+    parts = [F.col(c).isin(*own) for c, own in (("id", w.ids), ("rule_id", w.rules)) if own]
+    for c, patterns in (("sheet", w.sheets), ("location", w.locations)):
+        if patterns:
+            parts.append(F.coalesce(F.col(c).rlike("|".join(map(glob, patterns))), F.lit(False)))
+    return reduce(Column.__and__, parts)
 
 
 def classify(findings: DataFrame, waivers: list[Waiver], baseline: DataFrame | None, as_of: date, new_only: bool = False) -> DataFrame:

@@ -41,11 +41,15 @@ def coalesce_widths(patches: DataFrame) -> DataFrame:
 
 
 def apply_to_cells(cells: DataFrame, patches: DataFrame, key: list[str]) -> DataFrame:
-    """cells with txt replaced by after, where the patch's before still holds; others keep theirs. New cells come in."""
-    p = patches.select(*key, F.col("before").alias("__before"), F.col("after").alias("__after"), F.lit(True).alias("__hit"))
-    joined = cells.join(p, key, "full")
+    """cells with txt replaced by after, where the patch's before still holds; others keep theirs. A patch whose before is
+    null makes a cell that isn't there. Cells that several patches change are in conflict: none of those is applied, so
+    no cell is lost or multiplied."""
+    one = patches.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.first("before").alias("__before"), F.first("after").alias("__after")).where(F.col("__n") == 1).drop("__n")
+    old = cells.withColumn("__cell", F.lit(True))
+    joined = old.join(one.withColumn("__hit", F.lit(True)), key, "full")
     fresh = F.col("__hit") & F.col("txt").eqNullSafe(F.col("__before"))
-    return joined.withColumn("txt", F.when(fresh, F.col("__after")).otherwise(F.col("txt"))).drop("__before", "__after", "__hit").where(F.col("txt").isNotNull())
+    there = joined.withColumn("__fresh", F.coalesce(fresh, F.lit(False))).where(F.coalesce("__cell", F.lit(False)) | F.col("__fresh") & F.col("__after").isNotNull())
+    return there.withColumn("txt", F.when(F.col("__fresh"), F.col("__after")).otherwise(F.col("txt"))).select(*cells.columns)
 
 
 def identity_conflicts(patches: DataFrame) -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwarden.functions.identity import finding_id
+from gridwarden.functions.formula import other_rows, own_spans, translated
+from gridwarden.functions.identity import finding_id, stable_id
+from gridwarden.functions.labels import identifier_header, measure_header, summary_label
 from gridwarden.functions.text import integer_digits, is_error, numeric_text
+from gridwarden.functions.width import COLUMN, identifier_width
 
 
 def findings(df: DataFrame, rule: str, severity: Column | str, sheet: str, location: Column, confidence: Column | float, *more: Column) -> DataFrame:
@@ -39,23 +42,71 @@ def outliers(df: DataFrame, by: list[str], pos: str, value: str, least: int, sha
 
 
 def formula_outliers(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
-    """WL002 over cells(band, pos, signature): formulas that break a band's pattern."""
+    """WL002 over cells(band, pos, signature), and boundary if boundary_aggregates() told it: formulas that break a band's
+    pattern. Boundary aggregates are left out, and bands with a formula that has no signature."""
+    if "boundary" in cells.columns:
+        cells = cells.where(~F.col("boundary"))
+    unsigned = F.max(F.col("signature").isNull()).over(Window.partitionBy("band"))
+    cells = cells.withColumn("__unsigned", unsigned).where(~F.col("__unsigned")).drop("__unsigned")
     odd = outliers(cells, ["band"], "pos", "signature", 4, 0.8)
     return findings(odd, "WL002", "warning", sheet, location, F.round(F.col("modal_n") / F.col("total"), 6), F.col("modal").alias("expected"))
 
 
 def band_gaps(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
-    """WL003 and WL004 over cells(band, pos, signature, value): exactly one place inside a band holds no formula,
-    and the others agree in at least 0.9. A blank is WL003, a value WL004."""
-    per = cells.groupBy("band").agg(
-        F.count("signature").alias("formulas"), F.count(F.when(F.col("signature").isNull(), 1)).alias("empty"), F.min(F.when(F.col("signature").isNull(), F.struct("pos", "value"))).alias("hole"),
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.mode("signature").alias("modal"),
-    )
-    agreed = cells.where(F.col("signature").isNotNull()).join(per, "band").groupBy("band").agg(F.count(F.when(F.col("signature") == F.col("modal"), 1)).alias("same"))
-    hit = per.join(agreed, "band").where((F.col("empty") == 1) & (F.col("formulas") >= 3) & (F.col("same") >= 0.9 * F.col("formulas")) & (F.col("hole.pos") > F.col("lo")) & (F.col("hole.pos") < F.col("hi")))
-    hit = hit.select("band", F.col("hole.pos").alias("pos"), F.col("hole.value").alias("value"), "modal")
-    blank = findings(hit.where(F.col("value").isNull()), "WL003", "error", sheet, location, 0.99, F.col("modal").alias("expected"))
-    return blank.unionByName(findings(hit.where(F.col("value").isNotNull()), "WL004", "error", sheet, location, 0.99, F.col("modal").alias("expected")))
+    """WL003 and WL004 over cells(band, pos, signature, value): the only blank, or the only literal, strictly inside a
+    band whose formulas, three or more, agree in at least 0.9. Blanks and literals are counted apart, so a band may have both."""
+    ends = Window.partitionBy("band")
+    inside = (F.col("pos") > F.min("pos").over(ends)) & (F.col("pos") < F.max("pos").over(ends))
+    kind = F.when(F.col("signature").isNotNull(), "formula").when(F.col("value").isNull(), "blank").otherwise("literal")
+    seen = cells.withColumn("inside", inside).withColumn("kind", kind)
+    agreed = consensus(seen.where("kind = 'formula'").select("band", "signature"), ["band"], "signature").where((F.col("total") >= 3) & (F.col("modal_n") >= 0.9 * F.col("total"))).select("band", "modal").distinct()
+    holes = seen.where(F.col("inside") & (F.col("kind") != "formula")).groupBy("band", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).where(F.col("n") == 1)
+    hit = holes.join(agreed, "band")
+    parts = [findings(hit.where(F.col("kind") == k), rule, "error", sheet, location, 0.99, F.col("modal").alias("expected")) for k, rule in (("blank", "WL003"), ("literal", "WL004"))]
+    return parts[0].unionByName(parts[1])
+
+
+def translated_consensus(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(band, pos, formula, source): what the formulas of sources(band, row, col, coord, formula) become when they are copied to
+    targets(band, pos, to_row, to_col), if two or more can be, and all give the same. source: the least address, as text."""
+    both = sources.join(targets, "band")
+    moved = both.withColumn("moved", translated(both, F.col("formula"), F.col("row"), F.col("col"), F.col("to_row"), F.col("to_col"))).where(F.col("moved").isNotNull())
+    per = moved.groupBy("band", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("moved").alias("formula"), F.max("moved").alias("other"), F.min("coord").alias("source"))
+    return per.where((F.col("n") >= 2) & (F.col("formula") == F.col("other"))).select("band", "pos", "formula", "source")
+
+
+def fill_patches(found: DataFrame, proposals: DataFrame, sheet: str) -> DataFrame:
+    """Patches for findings(id, rule_id, band, pos, coord) of band gaps: a blank gets the proposed formula, a literal is replaced by it.
+
+    Only blanks are safe; a literal may be meant, so a person decides."""
+    both = found.join(proposals, ["band", "pos"])
+    kind = F.when(F.col("rule_id") == "WL003", "create_formula").otherwise("set_formula")
+    patch = stable_id("patch", kind, F.lit(sheet), F.col("coord"), F.col("formula"))
+    return both.select(patch.alias("id"), F.col("id").alias("finding"), kind.alias("kind"), F.lit(sheet).alias("sheet"), F.col("coord").alias("cell"), F.col("formula").alias("after"), "source", (F.col("rule_id") == "WL003").alias("safe"), F.lit(0.99).alias("confidence"))
+
+
+def boundary_aggregates(cells: DataFrame) -> DataFrame:
+    """cells(band, kind, row, col, formula, min_row, max_row, min_col, max_col: the band's) with boundary: the formula stands
+    at an end of its band and refers to exactly the rest of it."""
+    box = lambda top, left, bottom, right: F.struct(*[x.cast("int").alias(n) for x, n in ((top, "min_row"), (left, "min_col"), (bottom, "max_row"), (right, "max_col"))])
+    row, col = F.col("row"), F.col("col")
+    ends = (
+        ("formula_row", col == F.col("min_col"), box(row, col + 1, row, F.col("max_col"))),
+        ("formula_row", col == F.col("max_col"), box(row, F.col("min_col"), row, col - 1)),
+        ("formula_column", row == F.col("min_row"), box(row + 1, col, F.col("max_row"), col)),
+        ("formula_column", row == F.col("max_row"), box(F.col("min_row"), col, row - 1, col)),
+    )
+    hit = F.lit(False)
+    for kind, at_end, rest in ends:
+        hit = hit | ((F.col("kind") == kind) & at_end & F.array_contains("__spans", rest))
+    return cells.withColumn("__spans", own_spans(cells, F.col("formula"))).withColumn("boundary", hit).drop("__spans")
+
+
+def summary_rows(cells: DataFrame, overrides: bool = True) -> DataFrame:
+    """(sheet, row) of cells(sheet, row, txt, formula) that sum others up: by a label, or by an aggregate over other rows."""
+    says = summary_label(F.col("txt"), overrides) & F.col("formula").isNull()
+    reaches = other_rows(cells, F.col("formula"), F.col("row"))
+    return cells.withColumn("__hit", says | reaches).groupBy("sheet", "row").agg(F.bool_or("__hit").alias("hit")).where("hit").drop("hit")
 
 
 def sum_boundaries(cells: DataFrame, sheet: str) -> DataFrame:
@@ -77,19 +128,29 @@ def numeric_texts(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
 
 
 def formula_findings(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
-    """WL001, WL009 and WL010 over cells with features: broken, external, volatile or whole-column references."""
+    """WL001, WL009 and WL010 over cells with features: broken, external, volatile or whole-column references. One pass."""
     f = lambda n: F.col(f"features.{n}")
-    broken = findings(cells.where(F.size(f("broken")) > 0), "WL001", "error", sheet, location, 1.0)
-    external = findings(cells.where(F.size(f("external")) > 0), "WL009", "warning", sheet, location, 1.0)
     loud = f("whole_column") | F.arrays_overlap(f("volatile"), F.array(F.lit("OFFSET"), F.lit("INDIRECT")))
-    fragile = findings(cells.where((F.size(f("volatile")) > 0) | f("whole_column")), "WL010", F.when(loud, "warning").otherwise("info"), sheet, location, 1.0)
-    return broken.unionByName(external).unionByName(fragile)
+    found = (("WL001", F.size(f("broken")) > 0, F.lit("error")), ("WL009", F.size(f("external")) > 0, F.lit("warning")), ("WL010", (F.size(f("volatile")) > 0) | f("whole_column"), F.when(loud, "warning").otherwise("info")))
+    each = F.array(*[F.when(hit, F.struct(F.lit(rule).alias("rule_id"), severity.alias("severity"))) for rule, hit, severity in found])
+    hits = cells.where(F.col("features").isNotNull()).select(location.alias("location"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    name = stable_id("finding", F.col("x.rule_id"), F.lit(sheet), F.col("location"), F.lit(None))
+    return hits.select(name.alias("id"), "x.rule_id", "x.severity", "location", F.lit(1.0).alias("confidence"))
 
 
-def hidden_data(rows: DataFrame, sheet: str) -> DataFrame:
-    """WL008 over rows(row, hidden, filled, formulas): hidden rows that hold values; a formula among them is a warning."""
-    hit = rows.where(F.col("hidden") & (F.col("filled") > 0))
-    return findings(hit, "WL008", F.when(F.col("formulas") > 0, "warning").otherwise("info"), sheet, F.concat(F.col("row").cast("string"), F.lit(":"), F.col("row").cast("string")), 1.0)
+def hidden_data(lines: DataFrame, sheet: str, label: Column | None = None) -> DataFrame:
+    """WL008 over lines(row, hidden, filled, formulas): hidden rows that hold values; a formula among them is a warning.
+    Hidden spans of columns go the same way, with a label that names them."""
+    hit = lines.where(F.col("hidden") & (F.col("filled") > 0))
+    label = label if label is not None else F.concat(F.col("row").cast("string"), F.lit(":"), F.col("row").cast("string"))
+    return findings(hit, "WL008", F.when(F.col("formulas") > 0, "warning").otherwise("info"), sheet, label, 1.0)
+
+
+def hidden_sheets(sheets: DataFrame) -> DataFrame:
+    """WL008 over sheets(sheet, state, filled): sheets that aren't visible and hold values."""
+    hit = sheets.where((F.col("state") != "visible") & (F.col("filled") > 0))
+    name = stable_id("finding", F.lit("WL008"), F.col("sheet"), F.lit(None), F.lit(None))
+    return hit.select(name.alias("id"), F.lit("WL008").alias("rule_id"), F.lit("warning").alias("severity"), "sheet", F.lit(1.0).alias("confidence"))
 
 
 def error_cells(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
@@ -97,9 +158,19 @@ def error_cells(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
     return findings(cells.where(is_error(F.col("data_type"), F.col("txt"))), "WL011", "error", sheet, location, 1.0)
 
 
+#: A range as names write it: cells, whole columns or whole rows, with or without marks.
+RANGE = r"^\$?[A-Za-z]{1,3}\$?[1-9]\d*(:\$?[A-Za-z]{1,3}\$?[1-9]\d*)?$|^\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}$|^\$?[1-9]\d*:\$?[1-9]\d*$"
+
+
 def broken_names(names: DataFrame, sheets: DataFrame, sheet: str = "names") -> DataFrame:
-    """WL013 over names(name, target): targets that name no sheet(target) of the workbook."""
-    return findings(names.join(sheets, "target", "left_anti"), "WL013", "error", sheet, F.col("name"), 1.0)
+    """WL013 over names(name, target, range): a lost reference, a target that is no sheet(target) of the workbook, or a
+    range that can't be read. range is null where only the sheet is known."""
+    known = sheets.select(F.col("target").alias("__known")).distinct()
+    lost = F.coalesce(F.upper("range").contains("#REF!"), F.lit(False))
+    unreadable = F.coalesce(~F.col("range").rlike(RANGE), F.lit(False))
+    reason = F.when(lost, "lost reference").when(F.col("__known").isNull(), "missing sheet").when(unreadable, "bad range")
+    hit = names.join(known, F.col("target") == F.col("__known"), "left").withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return findings(hit, "WL013", "error", sheet, F.col("name"), 1.0, F.col("reason"))
 
 
 def merges_in_data(merges: DataFrame, regions: DataFrame, sheet: str) -> DataFrame:
@@ -121,9 +192,15 @@ def validation_outliers(cells: DataFrame, sheet: str, location: Column) -> DataF
 
 
 def long_identifiers(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
-    """WL019 over cells(num, number_format): whole numbers of ten digits or more under General; beyond 15 an error."""
+    """WL019 over cells(num, number_format, header, hidden, width): visible whole numbers of ten digits or more under General
+    in any case, below a header of identifiers that isn't one of measures; beyond 15 digits an error. Up to 11 digits a
+    column that is wide enough shows them; width is null for the default."""
     digits = integer_digits(F.col("num"))
-    hit = cells.where((F.col("number_format") == "General") & (F.length(digits) >= 10))
+    asked = identifier_width(F.length(digits), F.length(digits) + F.lit(1.0))
+    shown = (F.length(digits) <= 11) & (F.coalesce("width", F.lit(COLUMN)) >= asked - 0.25)
+    named = identifier_header(F.col("header")) & ~measure_header(F.col("header"))
+    plain = F.lower(F.trim(F.coalesce("number_format", F.lit("General")))) == "general"
+    hit = cells.where(plain & (F.length(digits) >= 10) & named & ~F.coalesce("hidden", F.lit(False)) & ~shown)
     return findings(hit, "WL019", F.when(F.length(digits) > 15, "error").otherwise("warning"), sheet, location, 0.99)
 
 

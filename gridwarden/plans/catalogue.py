@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwarden.functions import labels, width
 from gridwarden.functions.formula import signature_column, with_features
 from gridwarden.functions.text import numeric_text
 from gridwarden.operators import assertions, diff, policy, repair, rules, runs
@@ -79,23 +80,41 @@ def formula_outlier(spark, d):
 
 
 def planted_gaps(spark, d):
+    """Bands of fifty. A literal at 25; in every fourth band a blank at 30 as well, in every seventh two blanks, in every
+    sixth a blank at the end; in some bands another formula in four places, in some in five, too many for 0.9."""
     k = F.col("p_partkey")
-    sig = F.when(k % 50 == 25, F.lit(None).cast("string")).otherwise("R[0]C[-1]*2")
-    return table(spark, d, "part").select(F.floor(k / 50).alias("band"), k.alias("pos"), sig.alias("signature"), F.when(k % 100 == 25, k.cast("string")).alias("value"))
+    band, at = F.floor(k / 50), k % 50
+    blank = ((at == 30) & (band % 4 == 0)) | (at.isin(10, 12) & (band % 7 == 3)) | ((at == 0) & (band % 6 == 1))
+    other = (at < 5) & (band % 5 == 2) | (at < 4) & (band % 5 == 3)
+    sig = F.when(~blank & (at != 25), F.when(other, "R[0]C[-2]*2").otherwise("R[0]C[-1]*2"))
+    return table(spark, d, "part").select(band.alias("band"), k.alias("pos"), sig.alias("signature"), F.when(at == 25, k.cast("string")).alias("value"))
 
 
-GAPS = "SELECT p_partkey // 50 AS band, p_partkey AS pos, CASE WHEN p_partkey % 50 = 25 THEN NULL ELSE 'R[0]C[-1]*2' END AS signature FROM part"
+GAPS = """c AS (SELECT p_partkey // 50 AS band, p_partkey AS pos, p_partkey % 50 AS spot FROM part),
+p AS (SELECT *, (spot = 30 AND band % 4 = 0) OR (spot IN (10, 12) AND band % 7 = 3) OR (spot = 0 AND band % 6 = 1) AS blank, (spot < 5 AND band % 5 = 2) OR (spot < 4 AND band % 5 = 3) AS other FROM c),
+k AS (SELECT band, pos, CASE WHEN blank THEN 'blank' WHEN spot = 25 THEN 'literal' ELSE 'formula' END AS kind, CASE WHEN other THEN 'R[0]C[-2]*2' ELSE 'R[0]C[-1]*2' END AS sig,
+             pos > min(pos) OVER (PARTITION BY band) AND pos < max(pos) OVER (PARTITION BY band) AS inside FROM p),
+m AS (SELECT band, arg_max(sig, n) AS modal FROM (SELECT band, sig, count(*) AS n FROM k WHERE kind = 'formula' GROUP BY ALL) GROUP BY band HAVING sum(n) >= 3 AND max(n) >= 0.9 * sum(n)),
+h AS (SELECT band, kind, min(pos) AS pos FROM k WHERE inside AND kind <> 'formula' GROUP BY ALL HAVING count(*) = 1)"""
 
 
-@query(
-    f"WITH c AS ({GAPS}), h AS (SELECT band, min(pos) FILTER (signature IS NULL) AS pos FROM c GROUP BY band HAVING count(*) FILTER (signature IS NULL) = 1 AND count(signature) >= 3) "
-    + sql_finding("x", "part", "'D' || (pos + 2)", "error", "0.99").replace("'x'", "CASE WHEN pos % 100 = 25 THEN 'WL004' ELSE 'WL003' END") + ", 'R[0]C[-1]*2' AS expected FROM h"
-)
+@query(f"WITH {GAPS} " + sql_finding("x", "part", "'D' || (pos + 2)", "error", "0.99").replace("'x'", "CASE WHEN kind = 'blank' THEN 'WL003' ELSE 'WL004' END") + ", modal AS expected FROM h JOIN m USING (band)")
 def band_gaps(spark, d):
-    """One formula in fifty is planted as missing, every other of those with a value in its place."""
     return rules.band_gaps(planted_gaps(spark, d), "part", F.concat(F.lit("D"), (F.col("pos") + 2).cast("string")))
 
 
+@query(f"WITH {GAPS}, t AS (SELECT band, count(DISTINCT replace(sig, 'R[0]C[-1]', 'C')) AS kinds, min('D' || (pos + 2)) AS source, count(*) AS n FROM k WHERE kind = 'formula' GROUP BY band) SELECT h.kind = 'blank' AS safe, 'D' || (h.pos + 2) AS cell, '=C' || (h.pos + 2) || '*2' AS after, source FROM h JOIN m USING (band) JOIN t USING (band) WHERE kinds = 1 AND n >= 2")
+def gap_patches(spark, d):
+    """Formulas proposed for the gaps: what all formulas of the band become when they are copied there."""
+    row = F.col("pos") + 2
+    cells = planted_gaps(spark, d).withColumn("row", row).withColumn("coord", F.concat(F.lit("D"), row.cast("string")))
+    letter = F.when(F.col("signature") == "R[0]C[-1]*2", "C").otherwise("B")
+    sources = cells.where("signature IS NOT NULL").select("band", "row", F.lit(4).alias("col"), "coord", F.concat(F.lit("="), letter, F.col("row").cast("string"), F.lit("*2")).alias("formula"))
+    found = rules.band_gaps(cells, "part", F.concat(F.lit("D"), row.cast("string"))).select("id", "rule_id", F.col("location").alias("coord")).join(cells.select("band", "pos", "coord"), "coord")
+    proposals = rules.translated_consensus(sources, found.select("band", "pos", (F.col("pos") + 2).alias("to_row"), F.lit(4).alias("to_col")))
+    return rules.fill_patches(found, proposals, "part").select("safe", "cell", "after", "source")
+
+
 @query(sql_finding("WL005", "orders", "'B' || (o_orderkey + 2)", "warning", "0.96") + " FROM orders WHERE o_orderkey % 20 = 19 AND o_orderkey % 3 = 0")
 def sum_boundary(spark, d):
     """Every 20th row sums its block; of those a third, by key, stop one row too early."""
@@ -107,11 +126,12 @@ def sum_boundary(spark, d):
     return rules.sum_boundaries(cells, "orders")
 
 
-@query(sql_finding("WL006", "part", "'F' || (p_partkey + 2)", "warning", "0.97") + ", CAST(p_size AS DOUBLE) AS value FROM part WHERE p_partkey % 20 = 0")
+@query("WITH c AS (SELECT p_partkey // 20 AS grp, p_partkey, p_size, p_partkey % 20 < (p_partkey // 20) % 8 AS as_text FROM part), w AS (SELECT grp, count(*) FILTER (NOT as_text) AS numbers, count(*) AS filled FROM c GROUP BY grp) " + sql_finding("WL006", "part", "'F' || (p_partkey + 2)", "warning", "CASE WHEN numbers >= 0.85 * filled THEN 0.97 ELSE 0.90 END") + ", CAST(p_size AS DOUBLE) AS value FROM c JOIN w USING (grp) WHERE as_text AND numbers >= 3 AND numbers >= 0.75 * filled")
 def numeric_texts(spark, d):
-    """Every 20th size is planted as text."""
+    """Columns of twenty with none to seven of the sizes as texts: 0.75 and 0.85 are crossed."""
     k = F.col("p_partkey")
-    cells = table(spark, d, "part").select(F.lit(1).alias("grp"), k.alias("pos"), F.when(k % 20 != 0, F.col("p_size").cast("double")).alias("num"), F.when(k % 20 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("txt"))
+    as_text = k % 20 < F.floor(k / 20) % 8
+    cells = table(spark, d, "part").select(F.floor(k / 20).alias("grp"), k.alias("pos"), F.when(~as_text, F.col("p_size").cast("double")).alias("num"), F.when(as_text, F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("txt"))
     return rules.numeric_texts(cells, "part", F.concat(F.lit("F"), (F.col("pos") + 2).cast("string")))
 
 
@@ -122,11 +142,16 @@ def numeric_text_predicate(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count(numeric_text(x)).alias("numeric"))
 
 
-@query(sql_finding("WL007", "customer", "'B' || (c_custkey + 2)", "info", "round(49 / 50, 6)") + " FROM customer WHERE c_custkey % 50 = 7")
+STYLES = "c AS (SELECT c_custkey AS pos, c_custkey // 50 AS grp, CASE (c_custkey // 50) % 4 WHEN 0 THEN c_custkey % 50 = 7 WHEN 1 THEN c_custkey % 50 IN (7, 8) WHEN 2 THEN c_custkey % 5 = 2 ELSE c_custkey % 50 IN (7, 9, 30) OR c_custkey % 50 = 40 END AS odd FROM customer)"
+
+
+@query(f"WITH {STYLES}, t AS (SELECT grp, count(*) AS total, greatest(count(*) FILTER (odd), count(*) FILTER (NOT odd)) AS modal_n, count(*) FILTER (odd) > count(*) FILTER (NOT odd) AS modal FROM c GROUP BY grp), o AS (SELECT c.*, total, modal_n, pos - lag(pos) OVER (PARTITION BY c.grp ORDER BY pos) AS gap FROM c JOIN t USING (grp) WHERE odd <> modal AND total >= 5 AND modal_n >= 0.8 * total), g AS (SELECT *, min(gap) OVER (PARTITION BY grp) AS near FROM o) " + sql_finding("WL007", "customer", "'B' || (pos + 2)", "info", "round(modal_n / total, 6)") + " FROM g WHERE coalesce(near > 1, true)")
 def style_outlier(spark, d):
-    """Every 50th style is planted as different, in columns of fifty."""
+    """Columns of fifty with one odd style, with two side by side, with one in five, and with four apart."""
     k = F.col("c_custkey")
-    cells = table(spark, d, "customer").select(F.floor(k / 50).alias("grp"), k.alias("pos"), F.when(k % 50 == 7, "bold").otherwise("plain").alias("style"))
+    at, grp = k % 50, F.floor(k / 50)
+    odd = F.when(grp % 4 == 0, at == 7).when(grp % 4 == 1, at.isin(7, 8)).when(grp % 4 == 2, k % 5 == 2).otherwise(at.isin(7, 9, 30, 40))
+    cells = table(spark, d, "customer").select(grp.alias("grp"), k.alias("pos"), F.when(odd, "bold").otherwise("plain").alias("style"))
     return rules.style_outliers(cells, "customer", F.concat(F.lit("B"), (F.col("pos") + 2).cast("string")))
 
 
@@ -138,6 +163,20 @@ def hidden_rows(spark, d):
     return rules.hidden_data(rows, "customer")
 
 
+@query(
+    "SELECT id, rule_id, severity, location FROM (" + sql_finding("WL008", "nation", "label", "CASE WHEN formulas > 0 THEN 'warning' ELSE 'info' END", "1.0") + " FROM (SELECT n_regionkey AS r, chr(CAST(65 + n_regionkey AS INT)) || ':' || chr(CAST(66 + n_regionkey AS INT)) AS label, count(*) FILTER (n_nationkey % 2 = 0) AS filled, count(*) FILTER (n_nationkey % 6 = 0) AS formulas FROM nation GROUP BY n_regionkey) WHERE r % 2 = 0 AND filled > 0)"
+    " UNION ALL SELECT 'finding-' || substr(sha256(to_json(['WL008', 's' || r_regionkey, NULL, NULL])::VARCHAR), 1, 16), 'WL008', 'warning', 's' || r_regionkey FROM region WHERE r_regionkey % 2 = 1"
+)
+def hidden_spans_and_sheets(spark, d):
+    """Spans of two columns by region, hidden for even ones, and sheets hidden for odd ones."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    lines = table(spark, d, "nation").groupBy(r.alias("r")).agg(F.count(F.when(k % 2 == 0, 1)).alias("filled"), F.count(F.when(k % 6 == 0, 1)).alias("formulas")).withColumn("hidden", F.col("r") % 2 == 0)
+    letter = lambda n: F.chr(F.lit(65) + F.col("r") + n)
+    spans = rules.hidden_data(lines, "nation", F.concat(letter(0), F.lit(":"), letter(1))).drop("confidence")
+    sheets = table(spark, d, "region").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("sheet"), F.when(F.col("r_regionkey") % 2 == 1, "hidden").otherwise("visible").alias("state"), F.lit(3).alias("filled"))
+    return spans.unionByName(rules.hidden_sheets(sheets).drop("confidence").withColumnRenamed("sheet", "location"))
+
+
 def planted_formulas(spark, d):
     k = F.col("s_suppkey")
     r = (k + 2).cast("string")
@@ -162,11 +201,13 @@ def error_cells(spark, d):
     return rules.error_cells(cells, "orders", F.concat(F.lit("C"), (F.col("pos") + 2).cast("string")))
 
 
-@query(sql_finding("WL013", "names", S("o_orderkey"), "error", "1.0") + " FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '#ref!' WHEN o_orderkey % 7 = 0 THEN '$A$1:' WHEN o_orderkey % 2 = 0 THEN '$A:$B' ELSE 'B2' END AS r FROM orders), f AS (SELECT *, CASE WHEN r = '#ref!' THEN 'lost reference' WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'missing sheet' WHEN r = '$A$1:' THEN 'bad range' END AS reason FROM n) " + sql_finding("WL013", "names", S("o_orderkey"), "error", "1.0") + ", reason FROM f WHERE reason IS NOT NULL")
 def broken_names(spark, d):
-    """Orders as names whose targets are line items."""
-    names = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderkey").alias("target"))
-    return rules.broken_names(names, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target")).distinct())
+    """Orders as names whose targets are line items; some ranges are lost, some can't be read."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 9 == 0, "#ref!").when(k % 7 == 0, "$A$1:").when(k % 2 == 0, "$A:$B").otherwise("B2")
+    names = table(spark, d, "orders").select(k.cast("string").alias("name"), k.alias("target"), text.alias("range"))
+    return rules.broken_names(names, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target")))
 
 
 @query(
@@ -179,35 +220,153 @@ def merge_in_data(spark, d):
     return rules.merges_in_data(box(table(spark, d, "supplier"), F.col("s_suppkey") * 7, 2, 2, 3), box(table(spark, d, "nation"), F.col("n_nationkey") * 20, 9, 1, 4), "s")
 
 
-@query(sql_finding("WL015", "part", "'E' || (p_partkey + 2)", "warning", "round(9 / 10, 6)") + " FROM part WHERE p_partkey % 40 = 3")
+@query("WITH c AS (SELECT p_partkey, p_partkey // 10 AS grp, p_partkey % 10 < (p_partkey // 10) % 4 AS bare FROM part), t AS (SELECT grp, count(*) AS total, count(*) FILTER (bare) AS n FROM c GROUP BY grp) " + sql_finding("WL015", "part", "'E' || (p_partkey + 2)", "warning", "round((total - n) / total, 6)") + " FROM c JOIN t USING (grp) WHERE bare AND n = 1 AND total >= 4 AND total - n >= 3 AND total - n >= 0.75 * total")
 def validation_outlier(spark, d):
-    """In every fourth column of ten one cell is planted without the validation."""
+    """Columns of ten in which none to three cells lack the validation."""
     k = F.col("p_partkey")
-    cells = table(spark, d, "part").select(F.floor(k / 10).alias("grp"), k.alias("pos"), F.when(k % 40 == 3, F.lit(None)).otherwise("list").cast("string").alias("validation"))
+    cells = table(spark, d, "part").select(F.floor(k / 10).alias("grp"), k.alias("pos"), F.when(k % 10 >= F.floor(k / 10) % 4, "list").alias("validation"))
     return rules.validation_outliers(cells, "part", F.concat(F.lit("E"), (F.col("pos") + 2).cast("string")))
 
 
-@query(sql_finding("WL019", "customer", "'A' || (c_custkey + 2)", "CASE WHEN c_custkey % 30 = 0 THEN 'error' ELSE 'warning' END", "0.99") + " FROM customer WHERE c_custkey % 10 = 0")
+HEADERS = "['Account number', 'Order total', 'Amount', 'phone no', 'SKU', 'Unit price', 'Customer', '编号 2']"
+IS_IDENTIFIER = "(regexp_matches(h, '编号') OR len(list_intersect(regexp_split_to_array(lower(h), '[^a-z0-9]+'), ['id', 'sku', 'code'])) > 0 OR (len(list_intersect(regexp_split_to_array(lower(h), '[^a-z0-9]+'), ['number', 'no'])) > 0 AND len(list_intersect(regexp_split_to_array(lower(h), '[^a-z0-9]+'), ['account', 'order', 'phone', 'customer'])) > 0))"
+IS_MEASURE = "(len(list_intersect(regexp_split_to_array(lower(h), '[^a-z0-9]+'), ['total', 'amount', 'price'])) > 0)"
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey AS k, CAST(power(10, 8 + c_custkey % 9) + c_custkey AS BIGINT) AS num, {HEADERS}[1 + (c_custkey // 9) % 8] AS h, CASE c_custkey % 4 WHEN 0 THEN 'General' WHEN 1 THEN ' GENERAL' WHEN 2 THEN NULL ELSE '0' END AS f, c_custkey % 13 = 0 AS hidden, CASE WHEN c_custkey % 5 = 0 THEN 40.0 ELSE 9.0 END AS w FROM customer),"
+    " l AS (SELECT *, length(num::VARCHAR) AS n FROM c) " + sql_finding("WL019", "customer", "'A' || (k + 2)", "CASE WHEN n > 15 THEN 'error' ELSE 'warning' END", "0.99") + f" FROM l WHERE n >= 10 AND (f IS NULL OR f <> '0') AND NOT hidden AND {IS_IDENTIFIER} AND NOT {IS_MEASURE} AND NOT (n <= 11 AND w = 40.0)"
+)
 def long_identifiers(spark, d):
-    """Every tenth number is planted with twelve digits, every thirtieth with sixteen."""
+    """Numbers of nine to seventeen digits under eight headers and four formats, some hidden, some in wide columns."""
     k = F.col("c_custkey")
-    num = F.when(k % 30 == 0, k + 10**15).when(k % 10 == 0, k + 10**11).otherwise(k).cast("double")
-    cells = table(spark, d, "customer").select(k.alias("pos"), num.alias("num"), F.lit("General").alias("number_format"))
+    num = (F.pow(F.lit(10.0), 8 + k % 9) + k).cast("double")
+    header = F.element_at(F.array(*map(F.lit, ("Account number", "Order total", "Amount", "phone no", "SKU", "Unit price", "Customer", "编号 2"))), (1 + F.floor(k / 9) % 8).cast("int"))
+    style = F.when(k % 4 == 0, "General").when(k % 4 == 1, " GENERAL").when(k % 4 == 3, "0")
+    cells = table(spark, d, "customer").select(k.alias("pos"), num.alias("num"), style.alias("number_format"), header.alias("header"), (k % 13 == 0).alias("hidden"), F.when(k % 5 == 0, 40.0).otherwise(9.0).alias("width"))
     return rules.long_identifiers(cells, "customer", F.concat(F.lit("A"), (F.col("pos") + 2).cast("string")))
 
 
+@query(f"SELECT h AS header, {IS_IDENTIFIER} AS identifier, {IS_MEASURE} AS measure FROM (SELECT unnest({HEADERS}) AS h)")
+def header_kinds(spark, d):
+    header = F.explode(F.array(*map(F.lit, ("Account number", "Order total", "Amount", "phone no", "SKU", "Unit price", "Customer", "编号 2"))))
+    return table(spark, d, "region").where("r_regionkey = 0").select(header.alias("header")).select("header", labels.identifier_header(F.col("header")).alias("identifier"), labels.measure_header(F.col("header")).alias("measure"))
+
+
+@query("SELECT template, count(*) AS n FROM (SELECT trim(regexp_replace(regexp_replace(lower(p_name || '  ' || p_size || ' of 2024 '), '[0-9]+', '<n>', 'g'), '\\s+', ' ', 'g')) AS template FROM part) GROUP BY template")
+def label_templates(spark, d):
+    text = F.concat("p_name", F.lit("  "), F.col("p_size").cast("string"), F.lit(" of 2024 "))
+    return table(spark, d, "part").groupBy(labels.label_template(text).alias("template")).agg(F.count(F.lit(1)).alias("n"))
+
+
+ROWS = "['Grand total', 'subtotals', 'Widget', 'Manual override', 'Average price', 'maximal', '合计']"
+
+
+@query(f"SELECT 'c' AS sheet, k AS row FROM (SELECT c_custkey AS k, {ROWS}[1 + c_custkey % 7] AS t FROM customer) WHERE regexp_matches(lower(t), '(^|[^a-z0-9_])(total|average|override)([^a-z0-9_]|$)|合计') OR k % 11 IN (0, 2)")
+def summary_rows(spark, d):
+    """Rows with labels, some of which only look like those of summaries, and formulas of which some reach other rows."""
+    k = F.col("c_custkey")
+    label = F.element_at(F.array(*map(F.lit, ("Grand total", "subtotals", "Widget", "Manual override", "Average price", "maximal", "合计"))), (1 + k % 7).cast("int"))
+    r = k.cast("string")
+    formula = F.when(k % 11 == 0, F.concat(F.lit("=SUM(B1:B"), r, F.lit(")"))).when(k % 11 == 1, F.concat(F.lit("=SUM(B"), r, F.lit(":D"), r, F.lit(")"))).when(k % 11 == 2, F.lit("=_xlfn.AGGREGATE(9,5,Sheet2!C:C)")).otherwise(F.lit('="SUM("&A1'))
+    base = table(spark, d, "customer")
+    texts = base.select(F.lit("c").alias("sheet"), k.alias("row"), label.alias("txt"), F.lit(None).cast("string").alias("formula"))
+    return rules.summary_rows(texts.unionByName(base.select(F.lit("c").alias("sheet"), k.alias("row"), F.lit(None).cast("string").alias("txt"), formula.alias("formula"))))
+
+
+@query("SELECT p_partkey, round((length(regexp_replace(p_name, '[ ]', '', 'g')) + 0.5 * (length(p_name) - length(replace(p_name, ' ', '')))) * greatest(0.7, least(2.5, (6 + p_size) / 11.0)) * CASE WHEN p_partkey % 3 = 0 THEN 1.04 ELSE 1.0 END + 1.0, 6) AS width, 1 AS lines, round(greatest(12.0, (6 + p_size) * 1.25) + 2.0, 6) AS height FROM part WHERE regexp_full_match(p_name, '[A-Za-z0-9 ]+')")
+def text_sizes(spark, d):
+    parts = table(spark, d, "part").where(F.col("p_name").rlike("^[A-Za-z0-9 ]+$"))
+    found = parts.withColumn("m", width.text_size(parts, F.col("p_name"), F.lit(6) + F.col("p_size"), F.col("p_partkey") % 3 == 0, F.lit(False), F.lit(None).cast("double")))
+    return found.select("p_partkey", F.round("m.width", 6).alias("width"), "m.lines", F.round("m.height", 6).alias("height"))
+
+
 @query("SELECT user_id, start, max(pos) AS \"end\", count(*) AS n FROM (SELECT *, min(pos) OVER (PARTITION BY user_id, grp) AS start FROM (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS grp FROM (SELECT DISTINCT user_id % 7 AS user_id, event_id // 3 AS pos FROM events WHERE event_type = 'click'))) GROUP BY user_id, start")
 def islands(spark, d):
     e = table(spark, d, "events").where("event_type = 'click'").select((F.col("user_id") % 7).alias("user_id"), F.floor(F.col("event_id") / 3).alias("pos"))
     return runs.runs(e, ["user_id"], "pos")
 
 
-@query("WITH p AS (SELECT DISTINCT event_type, event_id AS pos FROM events WHERE event_type IN ('click', 'view')), r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY event_type ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS new FROM p)) SELECT event_type, min(pos) AS start, max(pos) AS \"end\", count(*) AS n FROM r GROUP BY event_type, run HAVING count(*) >= 3")
+@query("WITH p AS (SELECT DISTINCT event_type, event_id AS pos FROM events WHERE event_type IN ('click', 'view')), r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY pos) AS run FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY event_type ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS new FROM p)) SELECT event_type, min(pos) AS start, max(pos) AS \"end\", count(*) AS n, count(*) / (max(pos) - min(pos) + 1) AS confidence FROM r GROUP BY event_type, run HAVING count(*) >= 3 AND max(pos) - min(pos) + 1 - count(*) <= 1")
 def formula_bands(spark, d):
     e = table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("event_type", F.col("event_id").alias("pos"))
     return runs.bands(e, ["event_type"], "pos")
 
 
+GRID = "SELECT DISTINCT event_id // 20 AS row, event_id % 20 + 1 AS col FROM events WHERE event_type IN ('click', 'view')"
+RUN = "SELECT *, sum(new) OVER (PARTITION BY {by} ORDER BY {pos}) AS run FROM (SELECT *, CASE WHEN {pos} - lag({pos}) OVER (PARTITION BY {by} ORDER BY {pos}) <= {gap} THEN 0 ELSE 1 END AS new FROM g)"
+
+
+@query(
+    f"WITH g AS ({GRID}) " + " UNION ALL ".join(
+        f"SELECT 'formula_{kind}' AS kind, min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col, count(*) AS n, count(*) / (max({pos}) - min({pos}) + 1) AS confidence FROM ({RUN.format(by=by, pos=pos, gap=2)}) GROUP BY {by}, run HAVING count(*) >= 3 AND max({pos}) - min({pos}) + 1 - count(*) <= 1"
+        for kind, by, pos in (("row", "row", "col"), ("column", "col", "row"))
+    )
+)
+def band_rectangles(spark, d):
+    """Events as a grid of twenty columns; clicks and views are formulas."""
+    return runs.formula_bands(grid(spark, d)).drop("sheet")
+
+
+def grid(spark, d):
+    e = table(spark, d, "events").where(F.col("event_type").isin("click", "view"))
+    return e.select(F.lit("e").alias("sheet"), F.floor(F.col("event_id") / 20).alias("row"), (F.col("event_id") % 20 + 1).alias("col")).distinct()
+
+
+@query(
+    f"WITH g AS (SELECT row + 1 AS row, col FROM ({GRID})) SELECT false AS vertical, CASE WHEN count(*) = 1 THEN chr(CAST(64 + min(col) AS INT)) || row ELSE chr(CAST(64 + min(col) AS INT)) || row || ':' || chr(CAST(64 + max(col) AS INT)) || row END AS range FROM ({RUN.format(by='row', pos='col', gap=1)}) GROUP BY row, run"
+    f" UNION ALL SELECT true, CASE WHEN count(*) = 1 THEN chr(CAST(64 + col AS INT)) || min(row) ELSE chr(CAST(64 + col AS INT)) || min(row) || ':' || chr(CAST(64 + col AS INT)) || max(row) END FROM ({RUN.format(by='col', pos='row', gap=1)}) GROUP BY col, run"
+)
+def compressed_ranges(spark, d):
+    cells = grid(spark, d).withColumn("row", F.col("row") + 1)
+    return runs.address_ranges(cells).select(F.lit(False).alias("vertical"), "range").unionByName(runs.address_ranges(cells, vertical=True).select(F.lit(True).alias("vertical"), "range"))
+
+
+@query(f"WITH g AS ({GRID}) SELECT col, CASE WHEN count(*) = 1 THEN min(row)::VARCHAR ELSE min(row) || ':' || max(row) END AS range FROM ({RUN.format(by='col', pos='row', gap=1)}) GROUP BY col, run")
+def number_runs(spark, d):
+    return runs.number_ranges(grid(spark, d), ["col"], "row")
+
+
+@query(f"WITH g AS ({GRID}) SELECT 'e' AS sheet, least(min(row), 3) AS min_row, greatest(max(row), 4) AS max_row, least(min(col), 2) AS min_col, greatest(max(col), 30) AS max_col FROM g")
+def content_bounds(spark, d):
+    merge = spark.range(1).select(F.lit("e").alias("sheet"), *[F.lit(x).cast("long").alias(n) for n, x in (("min_row", 3), ("max_row", 4), ("min_col", 2), ("max_col", 30))])
+    return runs.content_bounds(grid(spark, d), merge)
+
+
+TAIL = "SELECT p_partkey // 20 AS b, 200 + 10 * (p_partkey // 20) + p_partkey % 20 // 4 AS row, CASE WHEN (p_partkey // 20) % 4 = 1 THEN 14 ELSE 2 END + p_partkey % 4 AS col, (p_partkey // 20) % 5 = 0 AND p_partkey % 20 = 9 AS blocked FROM part WHERE NOT ((p_partkey // 20) % 3 = 0 AND p_partkey % 4 = 3)"
+
+
+@query(f"SELECT min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col, count(*) AS cells FROM ({TAIL}) GROUP BY b HAVING count(*) >= 16 AND NOT bool_or(blocked) AND (min(col) >= 14 OR min(row) >= 1025)")
+def formatting_tail(spark, d):
+    """Blocks of up to twenty styled blank cells, ten rows apart, below and beside a content of 1,000 rows and six columns."""
+    k = F.col("p_partkey")
+    b, at = F.floor(k / 20), k % 20
+    cells = table(spark, d, "part").where(~((b % 3 == 0) & (k % 4 == 3))).select(
+        F.lit("s").alias("sheet"), (200 + 10 * b + F.floor(at / 4)).alias("row"), (F.when(b % 4 == 1, 14).otherwise(2) + k % 4).alias("col"), ((b % 5 == 0) & (at == 9)).alias("blocked")
+    )
+    content = spark.range(1).select(F.lit("s").alias("sheet"), *[F.lit(x).cast("long").alias(n) for n, x in (("min_row", 1), ("max_row", 1000), ("min_col", 1), ("max_col", 6))])
+    return runs.formatting_tails(cells, content).drop("sheet")
+
+
+@query("SELECT s_suppkey, arg_min(box, key) AS box FROM (SELECT s_suppkey, b::VARCHAR || ':' || (b + h)::VARCHAR AS box, {'a': (h + 1) * 5, 't': b} AS key FROM supplier, (SELECT n_nationkey * 3 AS b, n_nationkey % 7 AS h FROM nation) WHERE s_suppkey BETWEEN b AND b + h) GROUP BY s_suppkey")
+def smallest_region(spark, d):
+    n = F.col("n_nationkey")
+    boxes = table(spark, d, "nation").select(F.lit("s").alias("sheet"), (n * 3).alias("min_row"), (n * 3 + n % 7).alias("max_row"), F.lit(1).alias("min_col"), F.lit(5).alias("max_col"))
+    points = table(spark, d, "supplier").select(F.lit("s").alias("sheet"), F.col("s_suppkey").alias("row"), F.lit(2).alias("col"))
+    return runs.smallest_containing(points, boxes).select(F.col("row").alias("s_suppkey"), F.concat_ws(":", F.col("box.min_row").cast("string"), F.col("box.max_row").cast("string")).alias("box"))
+
+
+@query("SELECT 'D' || (k + 2) AS cell FROM (SELECT o_orderkey AS k, o_orderkey % 10 AS spot FROM orders) WHERE spot = 9 AND k % 3 <> 1 OR spot = 0 AND k % 4 = 0")
+def boundary_aggregate(spark, d):
+    """Bands of ten; the last formula sums the nine above it, or only eight; some first ones sum the nine below."""
+    k = F.col("o_orderkey")
+    row, at = k + 2, k % 10
+    ref = lambda a, b: F.concat(F.lit("=SUM($D$"), (row + a).cast("string"), F.lit(":D"), (row + b).cast("string"), F.lit(")*1"))
+    formula = F.when((at == 9) & (k % 3 != 1), ref(-9, -1)).when(at == 9, ref(-8, -1)).when((at == 0) & (k % 4 == 0), ref(1, 9)).otherwise(F.concat(F.lit("=C"), row.cast("string")))
+    cells = table(spark, d, "orders").select(F.floor(k / 10).alias("band"), F.lit("formula_column").alias("kind"), row.alias("row"), F.lit(4).alias("col"), formula.alias("formula"), (row - at).alias("min_row"), (row - at + 9).alias("max_row"), F.lit(4).alias("min_col"), F.lit(4).alias("max_col"))
+    return rules.boundary_aggregates(cells).where("boundary").select(F.concat(F.lit("D"), F.col("row").cast("string")).alias("cell"))
+
+
 @query("SELECT 'orders' AS sheet, b * 25 AS min_row, least(b * 25 + 22, (SELECT max(o_orderkey) FROM orders)) AS max_row, 1::BIGINT AS min_col, 3::BIGINT AS max_col, 3 * (least(b * 25 + 22, (SELECT max(o_orderkey) FROM orders)) - b * 25 + 1) AS cells, 1.0::DOUBLE AS density FROM (SELECT DISTINCT o_orderkey // 25 AS b FROM orders) WHERE least(b * 25 + 22, (SELECT max(o_orderkey) FROM orders)) - b * 25 >= 1")
 def regions(spark, d):
     """Blocks of 23 full rows of three columns, parted by two blank rows."""
@@ -308,6 +467,22 @@ def cell_diff(spark, d):
     return diff.cell_changes(base.where(k % 11 != 0), after, ["o_orderkey"], {"value": "error", "style": "info"})
 
 
+@query("SELECT k, entry, before, after FROM (SELECT s_suppkey AS k, 'name' AS entry, s_name AS before, CASE WHEN s_suppkey % 3 = 0 THEN s_name || '!' ELSE s_name END AS after FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey::VARCHAR, NULL FROM supplier) WHERE before IS DISTINCT FROM after")
+def map_diff(spark, d):
+    """Entries of a map that change, or are gone."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    base = table(spark, d, "supplier")
+    before = base.select(k.alias("k"), F.create_map(F.lit("name"), name, F.lit("nation"), F.col("s_nationkey").cast("string")).alias("m"))
+    after = base.select(k.alias("k"), F.create_map(F.lit("name"), F.when(k % 3 == 0, F.concat(name, F.lit("!"))).otherwise(name)).alias("m"))
+    return diff.map_changes(before, after, ["k"], "m")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, array_to_string(list_slice(list_sort(list(o_orderkey)), 1, 3), ',') AS first FROM orders GROUP BY o_orderstatus")
+def tail_summary(spark, d):
+    changes = table(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("place"))
+    return diff.summarised(changes, ["status"], 3).select("status", "n", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first"))
+
+
 @query("WITH b AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS s FROM customer WHERE c_custkey % 2 = 0), a AS (SELECT DISTINCT c_nationkey AS n, c_mktsegment AS s FROM customer WHERE c_custkey % 3 = 0) SELECT n, s, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT n, s, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
 def list_diff(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"))

@@ -7,7 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from gridwarden.functions.formula import FormulaError, features, signature, tokens, translate
+from gridwarden.functions import labels, width
+from gridwarden.functions.formula import FormulaError, features, reaches_other_rows, signature, spans, tokens, translate
 from gridwarden.functions.identity import stable_id
 from gridwarden.functions.text import numeric_text
 from gridwarden.operators import assertions, policy, repair, rules, runs
@@ -60,7 +61,12 @@ def test_regions_and_bands(spark):
     got = runs.regions(spark.createDataFrame(cells, "sheet string, row int, col int")).collect()
     assert [tuple(r) for r in got] == [("s", 1, 4, 1, 3, 12, 1.0)]
     band = runs.bands(spark.createDataFrame([("B", r) for r in (2, 3, 5, 6, 20)], "col string, row int"), ["col"], "row").collect()
-    assert [tuple(r) for r in band] == [("B", 2, 6, 4)]
+    assert [tuple(r) for r in band] == [("B", 2, 6, 4, 0.8)]
+    assert runs.bands(spark.createDataFrame([("B", r) for r in (1, 3, 5, 7, 9)], "col string, row int"), ["col"], "row").count() == 0
+    snake = [("t", r, c) for r in range(20) for c in ((0, 1, 2) if r % 4 == 0 else (2,) if r % 4 == 1 else (0, 1, 2) if r % 4 == 2 else (0,))]
+    for block_rows in (1, 3, 1000):
+        got = runs.regions(spark.createDataFrame(snake, "sheet string, row int, col int"), block_rows=block_rows).collect()
+        assert [tuple(r) for r in got] == [("t", 0, 19, 0, 2, 40, 40 / 60)]
     assert runs.regions(spark.createDataFrame([], "sheet string, row int, col int")).count() == 0
 
 
@@ -91,6 +97,54 @@ def test_policy(spark):
     assert json.loads(sarif(found, "book.xlsx"))["runs"][0]["results"]
 
 
+def test_band_with_a_blank_and_a_literal(spark):
+    rows = [(1, p, None if p in (3, 6, 0) else "s", "7" if p == 6 else None) for p in range(10)]
+    got = rules.band_gaps(spark.createDataFrame(rows, "band int, pos int, signature string, value string"), "s", F.col("pos").cast("string")).collect()
+    assert sorted((r["rule_id"], r["location"]) for r in got) == [("WL003", "3"), ("WL004", "6")]
+
+
+def test_patches_lose_and_multiply_no_cells(spark):
+    cells = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "d")], "k int, txt string")
+    patches = spark.createDataFrame([(1, "a", "x"), (3, "c", "y"), (3, "c", "z"), (4, "other", "w"), (9, None, "new"), (10, "gone", "v")], "k int, before string, after string")
+    got = repair.apply_to_cells(cells, patches, ["k"]).collect()
+    assert sorted((r["k"], str(r["txt"])) for r in got) == [(1, "x"), (2, "None"), (3, "c"), (4, "d"), (9, "new")]
+
+
+def test_waivers_need_a_dimension(spark):
+    with pytest.raises(ValueError):
+        policy.Waiver(expires=datetime.date(2026, 1, 1))
+    found = spark.createDataFrame([("a", "WL001", "error", "A1", "Data"), ("b", "WL001", "error", "A1", None)], "id string, rule_id string, severity string, location string, sheet string")
+    out = policy.classify(found, [policy.Waiver(sheets=("D?t*",)), policy.Waiver(ids=("b",))], None, datetime.date(2026, 8, 19))
+    assert {r["id"]: r["waiver"] for r in out.collect()} == {"a": 0, "b": 1}
+
+
+def test_a_check_that_fails_stops_no_other(spark):
+    df = spark.createDataFrame([(1.0,), (None,)], "num double")
+    got = assertions.evaluated({"sum": lambda: assertions.total(df, "sum", 1.0), "lost": lambda: assertions.nonblank(df, "nothing"), "zero": lambda: assertions.total(df.limit(0), "zero", 0.0)}, df).collect()
+    assert [(r["passed"], r["violations"]) for r in got] == [(True, 0), (False, None), (True, 0)] and got[1]["assertion"].startswith("lost: ")
+
+
+def test_aggregates_and_rows():
+    assert reaches_other_rows("=SUM(A1:A9)", 10) and not reaches_other_rows("=SUM(A10:D10)", 10) and not reaches_other_rows('="SUM(A1)"', 10)
+    assert reaches_other_rows("=SUM(Sheet2!C:C)", 10) and not reaches_other_rows("=A1+SUM(B10)", 10) and reaches_other_rows("=SUM(A1", 3)
+    assert spans("=SUM($A$1:B9)+Sheet2!C1+D4") == [(1, 1, 9, 2), (4, 4, 4, 4)]
+
+
+def test_text_measures():
+    assert width.display_units("ab c\t,") == 3 + 0.5 + 4 + 0.8 and width.display_units("表") == 2
+    assert width.font_factor("a", None, False) == 1 and width.font_factor("表", 100, True) == 2.5 * 1.08 * 1.04
+    assert [width.wrapped_lines(t, 10, 1.0) for t in ("", "aaaa bbbb", "aaaa bbbb cccc", "a" * 25, "aaaaaaaaa bb")] == [1, 1, 2, 3, 2]
+    assert width.measure("one\r\ntwo longer", 11, False, False, 8.43)[1:] == (2, 2 * 13.75 + 2)
+
+
+def test_labels(spark):
+    assert labels.template("  Ｔotal  １２ of\t34 ") == "total <n> of <n>"
+    texts = [("Sub-Total", True), ("totals", False), ("Manual override", True), ("期末余额", True), (None, False)]
+    df = spark.createDataFrame(texts, "t string, want boolean")
+    assert df.where(labels.summary_label(F.col("t")) != F.col("want")).count() == 0
+    assert df.where(labels.summary_label(F.col("t"), overrides=False)).count() == 2
+
+
 def test_atomic_groups(spark):
     rows = [("a", "set_formula", "s", "A1", True, 0.99, None), ("b", "copy_style", "s", "A2", True, 0.99, "g"), ("c", "copy_style", "s", "A3", False, 0.99, "g"), ("d", "set_column_width", "s", "B", True, 0.9, None)]
     patches = spark.createDataFrame(rows, "id string, kind string, sheet string, cell string, safe boolean, confidence double, atomic_group string")
