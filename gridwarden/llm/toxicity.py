@@ -33,6 +33,8 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“
 #: Words on each side of a hit that form its window.
 WINDOW = 6
 FEATURES = ("exact", "near", "far", "quoted", "addressed", "shouted", "density", "any")
+#: Letters of a learned stem, at least.
+STEM = 5
 #: Labelled documents that weights are fitted on, at most.
 SAMPLE = 12_000
 #: Weights used where there are no labels of both kinds: bias, then one for each of FEATURES.
@@ -40,8 +42,13 @@ DEFAULT = np.array([-4.0, 3.0, 1.5, 0.5, -2.0, 1.0, 0.5, 1.0, 2.5])
 
 
 def allowed_errors(term: str) -> int:
-    """Errors that a hit may have. Learned terms, marked by a leading "=", are met exactly only."""
-    return 0 if term[0] == "=" else 0 if len(term) < 4 else 1 if len(term) < 8 else 2
+    """Errors that a hit may have: by length, but for learned terms, which say it themselves, as "=2word"."""
+    return int(term[1]) if term[0] == "=" else 0 if len(term) < 4 else 1 if len(term) < 8 else 2
+
+
+def letters(term: str) -> str:
+    """The letters of a term. A learned stem, "=1word*", is met by words that go on behind it."""
+    return term[2:].rstrip("*") if term[0] == "=" else term
 
 
 class Automaton:
@@ -51,10 +58,11 @@ class Automaton:
         self.children: list[dict[str, int]] = [{}]
         self.reach: list[int] = [0]  # most errors that a term below a node allows
         self.ends: list[tuple[str, int] | None] = [None]
+        self.stems: set[int] = set()
         for term in terms:
             node = 0
             self.reach[0] = max(self.reach[0], allowed_errors(term))
-            for c in term.lstrip("="):
+            for c in letters(term):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
@@ -62,13 +70,16 @@ class Automaton:
                     self.ends.append(None)
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], allowed_errors(term))
+            if term[-1] == "*":
+                self.stems.add(node)
             if self.ends[node] is None:
-                self.ends[node] = (term.lstrip("="), allowed_errors(term))
+                self.ends[node] = (letters(term), allowed_errors(term))
         self.swapped = {s: t for t in terms if len(t) > 4 and t[0] != "=" for i in range(1, len(t) - 1) if (s := t[:i] + t[i + 1] + t[i] + t[i + 2 :]) not in terms}
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple[str, int] | None] = []
+        self.passed: list[tuple[str, int] | None] = []  # the stem that ends in a state
         self.start = self._state({(0, 0)})
         self.known: dict[str, tuple[str, int] | None] = {}
 
@@ -88,8 +99,9 @@ class Automaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            ends = [(e, self.ends[n][0]) for n, e in key if self.ends[n] and e <= self.ends[n][1]]
-            self.found.append((min(ends)[1], min(ends)[0]) if ends else None)
+            for out, own in ((self.found, key), (self.passed, [x for x in key if x[0] in self.stems])):
+                ends = [(e, self.ends[n][0]) for n, e in own if self.ends[n] and e <= self.ends[n][1]]
+                out.append((min(ends)[1], min(ends)[0]) if ends else None)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -116,15 +128,19 @@ class Automaton:
         return hit
 
     def _run(self, word: str) -> tuple[str, int] | None:
-        state, steps = self.start, self.steps
+        state, steps, best = self.start, self.steps, None
         for c in word:
             follow = steps[state].get(c)
             if follow is None:
                 follow = steps[state][c] = self._step(state, c)
             if follow < 0:
-                return None
+                return best
             state = follow
-        return self.found[state]
+            stem = self.passed[state]
+            if stem and (best is None or stem[1] < best[1]):
+                best = stem
+        whole = self.found[state]
+        return whole if whole and (best is None or whole[1] <= best[1]) else best
 
 
 _AUTOMATA: dict[tuple[str, ...], Automaton] = {}
@@ -180,10 +196,13 @@ def fit_weights(rows: np.ndarray, labels: np.ndarray, steps: int = 25, ridge: fl
     return w
 
 
-def learned_terms(chosen: DataFrame, text_col: str, docs_least: int = 6, share: float = 0.9, most: int = 500) -> tuple[str, ...]:
-    """Words that occur almost only in texts labelled 1, from a bounded sample with __label.
+def learned_terms(chosen: DataFrame, text_col: str, docs_least: int = 6, share: float = 0.9, words_least: int = 3) -> tuple[str, ...]:
+    """Words, and stems of several words, that occur almost only in texts labelled 1, from a bounded sample with __label,
+    and the errors each allows.
 
     A word counts once for a document, and only where its neighbours there are its own: copies of a passage count once.
+    A term allows as many errors as others of its length, or fewer, if the words of the sample that it would meet with
+    errors occur in texts labelled 0 as well.
     """
 
     def contexts(frames):
@@ -197,16 +216,36 @@ def learned_terms(chosen: DataFrame, text_col: str, docs_least: int = 6, share:
     plain = chosen.select(F.xxhash64(text_col).alias("doc"), F.col("__label").alias("label"), F.col(text_col).alias("text"))
     rows = plain.mapInPandas(contexts, "word string, context string, doc long, label int")
     once = rows.groupBy("word", F.xxhash64("context").alias("c")).agg(F.min(F.struct("doc", "label")).alias("d")).groupBy("word", "d.doc").agg(F.max("d.label").alias("label"))
-    counted = once.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
-    found = counted.where((F.col("k") >= docs_least) & (F.col("k") >= share * F.col("n"))).orderBy(F.desc("k"), "word").limit(most)
-    return tuple("=" + r["word"] for r in found.collect())
+    counted = stored(once.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k")), "toxic-words")
+    found = sorted(r["word"] for r in counted.where((F.col("k") >= docs_least) & (F.col("k") >= share * F.col("n"))).select("word").collect())
+    ends = F.explode(F.sequence(F.lit(STEM), F.length("word") - 1))
+    prefixes = counted.where(F.length("word") > STEM).withColumn("end", ends).select("n", "k", F.expr("substring(word, 1, end)").alias("stem"))
+    families = prefixes.groupBy("stem").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    stems: list[str] = []
+    for r in sorted(families.where((F.col("words") >= words_least) & (F.col("k") >= docs_least) & (F.col("k") >= share * F.col("n"))).select("stem").collect()):
+        if not stems or not r["stem"].startswith(stems[-1]):  # sorted: the shortest stem comes first
+            stems.append(r["stem"])
+    tails = {w: "" for w in found} | {w: "*" for w in stems}
+    most = {w: min(allowed_errors(w), 1 if tail else 2) for w, tail in tails.items()}
+    tried = tuple(f"={e}{w}{tails[w]}" for w, e in most.items())
+
+    @F.pandas_udf("term string, distance int")
+    def met(words: pd.Series) -> pd.DataFrame:
+        auto = automaton(tried)
+        return pd.DataFrame([hit or (None, None) for hit in map(auto.find, words)], columns=["term", "distance"])
+
+    by_distance = counted.select("n", "k", met("word").alias("m")).where("m.distance > 0").groupBy("m.term", "m.distance").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    for r in sorted(by_distance.collect(), key=lambda r: r["distance"]):
+        if r["k"] < share * r["n"]:
+            most[r["term"]] = min(most[r["term"]], r["distance"] - 1)
+    return tuple(f"={e}{w}{tails[w]}" for w, e in most.items())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, tuple[str, ...]]:
     """Weights of FEATURES, and the lexicon with learned terms, from at most `sample` labelled documents outside the held-out fifth."""
     prepare(docs.sparkSession)
     chosen = stored(labelled(docs.select(id_col, text_col), labels, label_col, id_col, sample), "toxic-sample")
-    terms = LEXICON + tuple(t for t in learned_terms(chosen, text_col) if t[1:] not in LEXICON)
+    terms = LEXICON + tuple(t for t in learned_terms(chosen, text_col) if letters(t) not in LEXICON)
 
     @F.pandas_udf("array<double>")
     def evidence(texts: pd.Series) -> pd.Series:
