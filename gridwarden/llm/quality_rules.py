@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAPS, maybe_broadcast, prepare, stored
+from .common import WORD_GAPS, fresh, maybe_broadcast, prepare, stored
 
 SYMBOLS = "#*$%&|<>"
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
@@ -64,14 +64,14 @@ def rule_failures(m: str = "rules") -> dict[str, Column]:
 
 
 def shrunk_rates(hosts: DataFrame, rules: list[str]) -> DataFrame:
-    """hosts(__host, __n, one count per rule) with a rate per rule, shrunk to a beta prior fitted by moments.
+    """hosts(host, n, one count per rule) with a rate per rule, shrunk to a beta prior fitted by moments.
 
     With pooled rate m and variance v of host rates beyond what sampling explains, the prior weighs
     s = m (1 - m) / v - 1 documents; s is held between 1 and 1e6, the latter if hosts don't differ.
     One row of sums comes to the driver.
     """
-    total, n = F.sum("__n"), F.count(F.lit(1))
-    sums = [F.sum(r).alias(f"{r}_k") for r in rules] + [F.sum(F.col(r) * F.col(r) / F.col("__n")).alias(f"{r}_q") for r in rules]
+    total, n = F.sum("n"), F.count(F.lit(1))
+    sums = [F.sum(r).alias(f"{r}_k") for r in rules] + [F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_q") for r in rules]
     row = hosts.agg(total.alias("total"), n.alias("hosts"), *sums).first()
     out = hosts
     for r in rules:
@@ -81,7 +81,7 @@ def shrunk_rates(hosts: DataFrame, rules: list[str]) -> DataFrame:
             m = row[f"{r}_k"] / row["total"]
             between = row[f"{r}_q"] / row["total"] - m * m - m * (1 - m) * (row["hosts"] - 1) / row["total"]
             s = min(1e6, max(1.0, m * (1 - m) / between - 1)) if between > 0 else 1e6
-        out = out.withColumn(f"{r}_rate", (F.col(r) + F.lit(m * s)) / (F.col("__n") + F.lit(s)))
+        out = out.withColumn(f"{r}_rate", (F.col(r) + F.lit(m * s)) / (F.col("n") + F.lit(s)))
     return out
 
 
@@ -94,14 +94,15 @@ def host_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source"
     """
     prepare(docs.sparkSession)
     keep = [c for c in (keep if keep is not None else docs.columns) if c != out_col]
-    measured = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{host_col}`").cast("string").alias("__host"), F.pandas_udf(metrics_of, METRICS)(F.col(f"`{text_col}`").cast("string")).alias("__m"))
-    measured = stored(measured, "rules-metrics")
-    failures = rule_failures("__m")
-    hosts = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(x.cast("long")).alias(r) for r, x in failures.items()])
-    hosts = stored(hosts, "rules-hosts")
-    rates = shrunk_rates(hosts, list(failures))
-    rates = rates.select(F.col("__host").alias("__its_host"), F.greatest(*[F.col(f"{r}_rate") for r in failures]).alias("__rate"))
-    joined = measured.join(maybe_broadcast(rates, "__its_host"), F.col("__host").eqNullSafe(F.col("__its_host")))
-    bad = F.col("__rate") > F.lit(limit)
-    out = F.struct("__m.*", failures["base"].alias("base_failed"), F.col("__rate").alias("host_rate"), bad.alias("host_failed"), (~failures["base"] & ~bad).alias("kept"))
+    host, m, its = fresh(docs.columns, "host", "m", "its")
+    metrics = F.pandas_udf(metrics_of, METRICS)(F.col(f"`{text_col}`").cast("string"))
+    measured = stored(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{host_col}`").cast("string").alias(host), metrics.alias(m)), "rules-metrics")
+    failures = rule_failures(m)
+    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x.cast("long")).alias(r) for r, x in failures.items()])
+    rates = shrunk_rates(stored(hosts, "rules-hosts"), list(failures))
+    rates = rates.select(F.struct("host", F.greatest(*[F.col(f"{r}_rate") for r in failures]).alias("rate")).alias(its))
+    joined = measured.join(maybe_broadcast(rates, f"{its}.host"), F.col(host).eqNullSafe(F.col(f"{its}.host")))
+    rate = F.col(f"{its}.rate")
+    bad = rate > F.lit(limit)
+    out = F.struct(f"{m}.*", failures["base"].alias("base_failed"), rate.alias("host_rate"), bad.alias("host_failed"), (~failures["base"] & ~bad).alias("kept"))
     return joined.select(*[F.col(f"`{c}`") for c in keep], out.alias(out_col))

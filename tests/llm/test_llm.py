@@ -420,3 +420,82 @@ def test_exact_distances_are_few():
         d = ann.distances(x, x[q])
         hits += len(set(got.tolist()) & set([i for i in np.lexsort((np.arange(3000), d)).tolist() if i != q][:10]))
     assert files.measured <= 0.2 * 3000 * 30 + 30 and hits >= 0.9 * 300
+
+
+CLASHING = "doc th id gone target source_size size taken key h1 h2 k x c component marks copy score label f n sig __doc __th __gone __new __cut __size __key __label __m __host __rate __its_host __its_id held_out predicted kept n_words piece sequence_id offset b q v o copies host domain suffix declared guess lang text_log".split()
+
+
+@pytest.mark.parametrize("name", ["mix", "lines", "pack", "rules", "near", "quality", "toxic", "suffix"])
+def test_columns_of_clashing_names(spark, name):
+    """Extra columns bear names that operators use themselves: nothing crashes, and results are those without them."""
+    plain = spark.createDataFrame([(i, f"some words of text number {i % 3} and ten more of them here\nsecond line {i}", ["a", None][i % 2]) for i in range(8)], "doc_id long, text string, source string")
+    clash = plain.select("*", *[F.lit(7).alias(x) for x in CLASHING])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, quality int, toxic int")
+    run = {
+        "mix": lambda d: mixing.mix(d).select("doc_id", "mix.taken"),
+        "lines": lambda d: line_dedup.dedup_lines(d).select("doc_id", "text", "n_gone"),
+        "pack": lambda d: packing.pack(d, tokenizer_path()).select("doc_id", "length", "ids_crc32"),
+        "rules": lambda d: quality_rules.host_rules(d).select("doc_id", "rules.n_words", "rules.kept"),
+        "near": lambda d: minhash.near_duplicates(d),
+        "quality": lambda d: quality_classifier.classify(d, labels).select("doc_id", "score", "predicted"),
+        "toxic": lambda d: toxicity.classify(d, labels).select("doc_id", "score", "predicted"),
+        "suffix": lambda d: suffix_dedup.remove_repeats(d),
+    }[name]
+    assert sorted(map(tuple, run(clash).collect())) == sorted(map(tuple, run(plain).collect()))
+
+
+def test_vectors_and_pages_of_clashing_names(spark):
+    extra = [F.lit(7).alias(x) for x in CLASHING]
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    both = [sorted(map(tuple, ann.nearest(d, F.col("id") % 10 == 0).collect())) for d in (vectors, vectors.select("*", *extra))]
+    assert both[0] == both[1] and len(both[0]) == 30
+    texts = spark.createDataFrame([(i, ["the thing and this", "der und die das"][i % 2] * 5, ["en", "de"][i % 2]) for i in range(20)], "doc_id long, text string, lang string")
+    model = language_id.fit(texts)
+    pages = spark.createDataFrame([(1, "http://a.de/", "<p>der und das</p>"), (1, "http://a.de/", "<p>der und das</p>"), (2, "x", "the thing " * 40_000), (3, "", "")], "page_id long, url string, html string")
+    both = [sorted(map(tuple, language_id.identify(d, model).collect())) for d in (pages, pages.select("*", *extra))]
+    assert both[0] == both[1] and [r[1] for r in both[0]][:3] == ["de", "de", "en"]
+
+
+def test_line_dedup_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = sorted((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect())
+    first, count = {}, Counter()
+    for d, t in texts:
+        for j, line in enumerate(t.split("\n")):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                first.setdefault(line, (d, j))
+                count[line] += 1
+    lines = list(first)
+    sets = [{x[i : i + 8] for i in range(max(1, len(x) - 7))} if len(x) >= 8 else {x.ljust(8, "\0")} for x in lines]
+    holders, root = {}, list(range(len(lines)))
+    for i, s in enumerate(sets):
+        for v in s:
+            holders.setdefault(v, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        common = Counter(j for v in s for j in holders[v] if j < i)
+        for j, n in common.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    head = {}
+    for i, line in enumerate(lines):
+        head[find(i)] = min(head.get(find(i), first[line]), first[line])
+    place = {line: head[find(i)] for i, line in enumerate(lines)}
+    want = {d: "\n".join(x for j, x in enumerate(t.split("\n")) if x not in place or place[x] == (d, j)) for d, t in texts}
+    got = {r["doc_id"]: r["text"] or "" for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == want and any(len(want[d]) < len(t) for d, t in texts)
+
+
+def test_encoder_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    own, quick, rng = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path()), random.Random(31)
+    pool = ["a", "the", "é", "ß", "中文", "1234", "!?", " ", "  ", "\n", "\t", "'s", "don't", " ", "😀", "x" * 40, "<|endoftext|>", "ß "]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    assert [x.tolist() for x in quick.encode_batch(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
