@@ -12,5 +12,5 @@ def stable_id(prefix: str, *parts: Column, length: int = 16) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(text, 256), 1, length))
 
 
-def finding_id(rule: str, sheet: str, location: Column, discriminator: Column | None = None) -> Column:
+def finding_id(rule: str, sheet: Column | str, location: Column, discriminator: Column | None = None) -> Column:
     return stable_id("finding", F.lit(rule), F.lit(sheet), location, discriminator if discriminator is not None else F.lit(None))

@@ -12,10 +12,11 @@ from gridwarden.functions.text import integer_digits, is_error, numeric_text
 from gridwarden.functions.width import COLUMN, identifier_width
 
 
-def findings(df: DataFrame, rule: str, severity: Column | str, sheet: str, location: Column, confidence: Column | float, *more: Column) -> DataFrame:
+def findings(df: DataFrame, rule: str, severity: Column | str, sheet: Column | str, location: Column, confidence: Column | float, *more: Column, told_by: Column | None = None) -> DataFrame:
+    """Findings of a rule; told_by tells apart several of them at one place."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
     confidence = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    return df.select(finding_id(rule, sheet, location).alias("id"), F.lit(rule).alias("rule_id"), severity.alias("severity"), location.alias("location"), confidence.cast("double").alias("confidence"), *more)
+    return df.select(finding_id(rule, sheet, location, told_by).alias("id"), F.lit(rule).alias("rule_id"), severity.alias("severity"), location.alias("location"), confidence.cast("double").alias("confidence"), *more)
 
 
 def consensus(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -8,41 +8,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwarden.functions import labels, width
 from gridwarden.functions.formula import signature_column, with_features
 from gridwarden.functions.text import numeric_text
 from gridwarden.operators import assertions, diff, policy, repair, rules, runs
+from gridwarden.plans import layout_catalogue  # noqa: F401  (registers its queries)
+from gridwarden.plans.registry import QUERIES, SQL, query, sql_finding, sql_id, table
 from gridwarden.sources.table_sheet import as_cells
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def sql_id(rule: str, sheet: str, location: str) -> str:
-    return f"'finding-' || substr(sha256(to_json(['{rule}', '{sheet}', {location}, NULL])::VARCHAR), 1, 16)"
-
-
-def sql_finding(rule: str, sheet: str, location: str, severity: str, confidence: str) -> str:
-    severity = severity if " " in severity else f"'{severity}'"
-    return f"SELECT {sql_id(rule, sheet, location)} AS id, '{rule}' AS rule_id, {severity} AS severity, {location} AS location, CAST({confidence} AS DOUBLE) AS confidence"
-
-
 S = lambda x: f"CAST({x} AS VARCHAR)"
 
 
