@@ -13,7 +13,7 @@ from gridwarden.functions.identity import stable_id
 from gridwarden.functions.text import numeric_text
 from gridwarden.operators import assertions, policy, repair, rules, runs
 from gridwarden.plans.report import sarif
-from gridwarden.sources.workbook import Unsafe, inspect, parse_xml, read_inspections, read_workbooks
+from gridwarden.sources.workbook import Unsafe, inspect, parse_xml, read_inspections, read_sheets, read_sizes, read_structures, read_styles, read_workbooks
 
 
 def test_copies_share_a_signature():
@@ -157,12 +157,16 @@ def test_atomic_groups(spark):
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
-def package(extra=None, sheet=None):
+TYPES = "http://schemas.openxmlformats.org/package/2006/content-types"
+LINKS = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+def package(extra=None, sheet=None, types=None, names="", links=""):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("[Content_Types].xml", "<Types/>")
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("[Content_Types].xml", types or f'<Types xmlns="{TYPES}"/>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/></sheets>{names}</workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="' + LINKS + '"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}"><si><t>Hello</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", sheet or f'<worksheet xmlns="{MAIN}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>2.5</v></c></row><row r="3" hidden="1"><c r="B3"><f>B1*2</f><v>5</v></c></row></sheetData></worksheet>')
         for k, v in (extra or {}).items():
@@ -185,4 +189,45 @@ def test_package_checks():
         parse_xml(b'<!DOCTYPE a [<!ENTITY x "y">]><a>&x;</a>')
     assert not inspect("a.txt", package())[1]
     assert not inspect("a.xlsx", package({"xl/bad.xml": "<a>"}))[1]
-    assert inspect("a.xlsx", package({"xl/worksheets/_rels/sheet1.xml.rels": '<Relationships><Relationship Id="r" Target="http://x" TargetMode="External"/></Relationships>'}))[5] == ["http://x"]
+    assert inspect("a.xlsx", package({"xl/worksheets/_rels/sheet1.xml.rels": f'<Relationships xmlns="{LINKS}"><Relationship Id="r" Target="http://x" TargetMode="External"/></Relationships>'}))[5] == ["http://x"]
+
+
+def test_content_types_and_relationships():
+    main = '<Override PartName="/xl/workbook.xml" ContentType="{}"/>'
+    said = lambda *kinds: f'<Types xmlns="{TYPES}">{"".join(main.format(k) for k in kinds)}</Types>'
+    xlsx, xlsm = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml", "application/vnd.ms-excel.sheet.macroEnabled.main+xml"
+    assert inspect("a.xlsx", package(types=said(xlsx)))[6] == "xlsx" and inspect("a.xlsm", package(types=said(xlsm)))[6] == "xlsm"
+    assert inspect("a.xlsx", package())[6] == inspect("a.xlsx", package(types=said(xlsm)))[6] == inspect("a.xlsm", package(types=said(xlsx)))[6] == "xlsm"
+    assert inspect("a.xlsx", package({"xl/vbaProject.bin": "x"}, types=said(xlsx)))[4:7] == (True, [], "xlsm")
+    for bad in (said(xlsx, xlsm), "<Types/>"):
+        assert not inspect("a.xlsx", package(types=bad))[1]
+    lost = f'<Relationships xmlns="{LINKS}"><Relationship Id="r" Target="../gone.xml"/></Relationships>'
+    assert "gone" in inspect("a.xlsx", package({"xl/worksheets/_rels/sheet1.xml.rels": lost}))[2]
+    assert not inspect("a.xlsx", package({"xl/worksheets/_rels/sheet1.xml.rels": "<Relationships/>"}))[1]
+
+
+def test_workbook_structures(spark, tmp_path):
+    sheet = f'''<worksheet xmlns="{MAIN}"><dimension ref="A1:D9"/><sheetViews><sheetView topLeftCell="B7" zoomScale="150"><pane ySplit="2" state="frozen" topLeftCell="A9"/></sheetView></sheetViews>
+    <sheetFormatPr defaultRowHeight="15"/><cols><col min="2" max="3" width="20.5" hidden="1"/></cols><sheetData><row r="1" ht="30"><c r="A1" s="1"><f t="shared" ref="A1:A3" si="0">B1*2</f><v>2</v></c></row>
+    <row r="2"><c r="A2"><f t="shared" si="0"/><v>4</v></c></row><row r="3"><c r="A3"><f t="shared" si="0"/><v>6</v></c><c r="D3"><f t="array" ref="D3:D4">SUM(A1:A3)</f></c></row></sheetData>
+    <sheetProtection sheet="1"/><autoFilter ref="A1:D9"/><mergeCells><mergeCell ref="C8:D9"/></mergeCells><conditionalFormatting sqref="A1:A3 C1"><cfRule type="expression"><formula>A1&gt;3</formula></cfRule></conditionalFormatting>
+    <dataValidations><dataValidation type="list" sqref="B1:B9"><formula1>"a,b"</formula1></dataValidation></dataValidations><rowBreaks><brk id="5"/></rowBreaks></worksheet>'''
+    names = "<definedNames><definedName name='Rate'>Data!$B$2</definedName><definedName name='_xlnm.Print_Area' localSheetId='0'>Data!$A$1:$D$9,Data!$F:$G</definedName><definedName name='Lost'>#REF!</definedName></definedNames>"
+    table = f'<table xmlns="{MAIN}" name="T" ref="A1:B3"/>'
+    styles = f'<styleSheet xmlns="{MAIN}"><numFmts><numFmt numFmtId="164" formatCode="0.000"/></numFmts><fonts><font><sz val="11"/></font><font><b/><sz val="14"/></font></fonts><fills><fill/><fill><patternFill patternType="solid"/></fill></fills><borders><border/><border><left style="thin"><color rgb="FF"/></left><top style="none"/></border></borders><cellXfs><xf numFmtId="0"/><xf numFmtId="164" fontId="1" fillId="1" borderId="1"><alignment wrapText="1" horizontal="right"/></xf></cellXfs></styleSheet>'
+    rels = f'<Relationships xmlns="{LINKS}"><Relationship Id="r" Target="../tables/t.xml"/></Relationships>'
+    (tmp_path / "b.xlsx").write_bytes(package({"xl/styles.xml": styles, "xl/tables/t.xml": table, "xl/worksheets/_rels/sheet1.xml.rels": rels}, sheet, names=names))
+    path = str(tmp_path)
+    assert {(r["coord"], r["formula"], r["num"]) for r in read_workbooks(spark, path).collect()} == {("A1", "=B1*2", 2.0), ("A2", "=B2*2", 4.0), ("A3", "=B3*2", 6.0), ("D3", "=SUM(A1:A3)", None)}
+    s = read_sheets(spark, path).first()
+    assert (s["protected"], s["declared"], s["top"], s["left"], s["pane"], s["pane_rows"], s["pane_top"], s["zoom"], s["default_width"]) == (True, "A1:D9", 7, 2, "frozen", 2.0, 9, 150, None)
+    assert {(r["axis"], r["first"], r["last"], r["size"], r["hidden"]) for r in read_sizes(spark, path).collect()} == {("col", 2, 3, 20.5, True), ("row", 1, 1, 30.0, False)}
+    got = sorted((r["kind"], str(r["name"]), r["detail"], r["min_row"], r["max_row"], r["min_col"], r["max_col"]) for r in read_structures(spark, path).collect())
+    assert got == [
+        ("break", "row", "5", 5, 5, 1, 16384), ("conditional", "expression A1>3", "A1:A3", 1, 3, 1, 1), ("conditional", "expression A1>3", "C1", 1, 1, 3, 3), ("filter", "None", "A1:D9", 1, 9, 1, 4), ("formula", "array", "D3:D4", 3, 4, 4, 4),
+        ("formula", "shared", "A1:A3", 1, 3, 1, 1), ("formula", "shared", "A2", 2, 2, 1, 1), ("formula", "shared", "A3", 3, 3, 1, 1), ("merge", "None", "C8:D9", 8, 9, 3, 4), ("name", "Lost", "#REF!", None, None, None, None), ("name", "Rate", "$B$2", 2, 2, 2, 2),
+        ("print_area", "_xlnm.Print_Area", "$A$1:$D$9", 1, 9, 1, 4), ("print_area", "_xlnm.Print_Area", "$F:$G", 1, 1048576, 6, 7), ("table", "T", "A1:B3", 1, 3, 1, 2), ("validation", 'list||"a,b"|', "B1:B9", 1, 9, 2, 2),
+    ]
+    plain, own = sorted(read_styles(spark, path).collect(), key=lambda r: r["style_id"])
+    assert plain["number_format"] == "General" and not plain["filled"] and plain["left"] is None
+    assert (own["number_format"], own["size"], own["bold"], own["wrap"], own["align"], own["filled"], own["left"], own["top"]) == ("0.000", 14.0, True, True, "right", True, "thin rgb=FF", None)
