@@ -25,6 +25,11 @@ LEAST_TAIL, MOST_TAIL = 3, 4096
 BOX = ("min_row", "max_row", "min_col", "max_col")
 
 
+def named(sheet: Column | None) -> Column:
+    """The sheet's name in ids: the column sheet unless another is given, as where sheet tells workbooks apart too."""
+    return sheet if sheet is not None else F.col("sheet")
+
+
 def up(x: Column, step: float) -> Column:
     return F.ceil(x / step) * step
 
@@ -75,9 +80,9 @@ def text_risks(cells: DataFrame) -> DataFrame:
     return hit.select("sheet", "row", "col", "issue", "merged", F.col("__as_is.width").alias("width"), "room", "height", F.when(F.col("issue") == "vertical", F.col("__as_is.height")).otherwise(wrapped["height"]).alias("needs"))
 
 
-def text_findings(risks: DataFrame) -> DataFrame:
+def text_findings(risks: DataFrame, sheet: Column | None = None) -> DataFrame:
     """WL016 over text_risks()."""
-    return findings(risks, "WL016", "warning", F.col("sheet"), address(F.col("row"), F.col("col")), 0.96, F.col("sheet"), "issue", told_by=F.col("issue"))
+    return findings(risks, "WL016", "warning", named(sheet), address(F.col("row"), F.col("col")), 0.96, "issue", told_by=F.col("issue"))
 
 
 def text_patches(risks: DataFrame) -> DataFrame:
@@ -199,12 +204,12 @@ def border_gaps(cells: DataFrame, boxes: DataFrame, drawn: DataFrame) -> DataFra
     return agreed.withColumn("__n", once).where("__n = 1").select("sheet", "row", "col", "side", "share", F.col("top.style").alias("expected"), address(F.col("top.first.row"), F.col("top.first.col")).alias("source"))
 
 
-def border_findings(gaps: DataFrame) -> DataFrame:
+def border_findings(gaps: DataFrame, sheet: Column | None = None) -> DataFrame:
     """WL017 over border_gaps(): one finding a cell, of its least share."""
     order = F.array(*map(F.lit, SIDES))
     cells = gaps.groupBy("sheet", "row", "col").agg(F.min("share").alias("share"), F.collect_set("side").alias("__sides"))
     sides = F.concat_ws(",", F.filter(order, lambda s: F.array_contains(F.col("__sides"), s)))
-    return findings(cells, "WL017", "warning", F.col("sheet"), address(F.col("row"), F.col("col")), F.round("share", 6), F.col("sheet"), sides.alias("sides"), told_by=sides)
+    return findings(cells, "WL017", "warning", named(sheet), address(F.col("row"), F.col("col")), F.round("share", 6), sides.alias("sides"), told_by=sides)
 
 
 def border_patches(gaps: DataFrame) -> DataFrame:
@@ -255,28 +260,38 @@ def intersecting(boxes: DataFrame, others: DataFrame, bin_rows: int = 1024) -> D
     return keyed.join(near.unionByName(by_sheet).distinct(), "__id", "left_semi").drop("__id")
 
 
+def workbook_of(sheet: Column) -> Column:
+    """What stands before a NUL in a sheet's key, with the NUL: the workbook, if the key names one. Else empty."""
+    return F.regexp_extract(sheet, "(?s)^(.*\0)?", 0)
+
+
+def folded(sheet: Column) -> Column:
+    """A sheet's key with its own name in lower case, as formulas may write it."""
+    return F.concat(workbook_of(sheet), F.lower(F.substring_index(sheet, "\0", -1)))
+
+
 def formula_reach(formulas: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(boxes, blind) of formulas(sheet, formula): the rectangles they refer to on any sheet, sheets in lower case, and
-    one row if any of them can't be followed. One analysis per distinct formula text and sheet."""
+    """(boxes, blind) of formulas(sheet, formula): the rectangles they refer to on any sheet of their workbook, sheets
+    folded(), and the workbooks with a formula that can't be followed. One analysis per distinct formula text and sheet."""
     each = formulas.where(F.col("formula").isNotNull()).select("sheet", "formula").distinct()
     known = each.withColumn("__r", reached(each, F.col("formula")))
-    boxes = known.select(F.lower("sheet").alias("__own"), F.explode("__r.boxes").alias("b")).select(F.coalesce("b.sheet", "__own").alias("sheet"), *[f"b.{c}" for c in BOX])
-    return boxes, known.where("__r.blind").select(F.lit(True).alias("blind")).limit(1)
+    boxes = known.select("sheet", F.explode("__r.boxes").alias("b"))
+    boxes = boxes.select(F.when(F.col("b.sheet").isNull(), folded(F.col("sheet"))).otherwise(F.concat(workbook_of(F.col("sheet")), "b.sheet")).alias("sheet"), *[f"b.{c}" for c in BOX])
+    return boxes, known.where("__r.blind").select(workbook_of(F.col("sheet")).alias("__workbook"), F.lit(True).alias("blind")).distinct()
 
 
 def blocked_tails(tails: DataFrame, structures: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
     """tails(sheet, box, ...) with structure: it meets one of structures(sheet, box); and reached: a formula reaches it, or one
     of the workbook's formulas can't be followed. Without formulas reached is false."""
     met = intersecting(tails, structures).select("sheet", *BOX, F.lit(True).alias("structure"))
-    out = tails.join(met, ["sheet", *BOX], "left")
+    out = tails.join(met, ["sheet", *BOX], "left").withColumn("structure", F.coalesce("structure", F.lit(False)))
     if formulas is None:
-        return out.withColumn("structure", F.coalesce("structure", F.lit(False))).withColumn("reached", F.lit(False))
+        return out.withColumn("reached", F.lit(False))
     boxes, blind = formula_reach(formulas)
-    lower = tails.select(F.lower("sheet").alias("sheet"), *BOX)
-    hit = intersecting(lower, boxes).select(F.col("sheet").alias("__sheet"), *BOX, F.lit(True).alias("reached"))
-    out = out.withColumn("__sheet", F.lower("sheet")).join(hit, ["__sheet", *BOX], "left").drop("__sheet")
-    out = out.join(F.broadcast(blind), F.lit(True), "left")  # one row at most
-    return out.withColumn("structure", F.coalesce("structure", F.lit(False))).withColumn("reached", F.coalesce("reached", "blind", F.lit(False))).drop("blind")
+    hit = intersecting(tails.select(folded(F.col("sheet")).alias("sheet"), *BOX), boxes).select(F.col("sheet").alias("__sheet"), *BOX, F.lit(True).alias("__hit"))
+    out = out.withColumn("__sheet", folded(F.col("sheet"))).withColumn("__workbook", workbook_of(F.col("sheet")))
+    out = out.join(hit, ["__sheet", *BOX], "left").join(blind, "__workbook", "left")
+    return out.withColumn("reached", F.coalesce("__hit", "blind", F.lit(False))).drop("__sheet", "__workbook", "__hit", "blind")
 
 
 def ranges_text() -> Column:
@@ -284,34 +299,41 @@ def ranges_text() -> Column:
     return F.when(a == b, a).otherwise(F.concat_ws(":", a, b))
 
 
-def used_range(tails: DataFrame, sheets: DataFrame) -> DataFrame:
+def used_range(tails: DataFrame, sheets: DataFrame, sheet: Column | None = None) -> DataFrame:
     """WL018 over tails(sheet, box, structure): one finding a sheet, its tails in order. sheets(sheet, protected,
     declared_row, declared_col: the last ones as declared, or null; last_row, last_col: as stored; content_row: the last
     row with content). confidence 0.99 if the declared ones hold, else 0.90. clear: a patch may clear the tail."""
     met = tails.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("min_row", "min_col", ranges_text().alias("range")))).alias("__r"), F.bool_or("structure").alias("structure"), F.max("max_row").alias("__last"))
     holds = F.coalesce((F.col("declared_col") == F.col("last_col")) & (F.col("declared_row") >= F.greatest("content_row", "__last")) & (F.col("declared_row") <= F.col("last_row")), F.lit(False))
     clear = holds & ~F.col("structure") & ~F.col("protected")
-    return findings(met.join(sheets, "sheet"), "WL018", "warning", F.col("sheet"), F.concat_ws(",", "__r.range"), F.when(holds, 0.99).otherwise(0.90), F.col("sheet"), clear.alias("clear"))
+    return findings(met.join(sheets, "sheet"), "WL018", "warning", named(sheet), F.concat_ws(",", "__r.range"), F.when(holds, 0.99).otherwise(0.90), clear.alias("clear"))
 
 
-def whitespace_findings(tails: DataFrame, sheets: DataFrame) -> DataFrame:
+def whitespace_findings(tails: DataFrame, sheets: DataFrame, sheet: Column | None = None) -> DataFrame:
     """WL021 over tails(sheet, box, structure, reached): one finding a sheet. sheets(sheet, state, protected, declared: the declared
     dimension holds, formatting_tail: it has one). remove: a patch may remove the tail; only then the confidence is 0.99."""
     met = tails.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("min_row", "min_col", ranges_text().alias("range")))).alias("__r"), F.bool_or(F.col("structure") | F.col("reached")).alias("__bad"))
     remove = (F.col("state") == "visible") & ~F.col("protected") & F.col("declared") & ~F.col("formatting_tail") & ~F.col("__bad")
-    return findings(met.join(sheets, "sheet"), "WL021", "warning", F.col("sheet"), F.concat_ws(",", "__r.range"), F.when(remove, 0.99).otherwise(0.90), F.col("sheet"), remove.alias("remove"))
+    return findings(met.join(sheets, "sheet"), "WL021", "warning", named(sheet), F.concat_ws(",", "__r.range"), F.when(remove, 0.99).otherwise(0.90), remove.alias("remove"))
 
 
 # Saved views
 
 
-def planned_sizes(sizes: DataFrame, patches: DataFrame) -> DataFrame:
-    """sizes(sheet, place, size) of visible columns or rows with size raised to what patches(sheet, place, value) ask."""
-    asked = patches.groupBy("sheet", "place").agg(F.max("value").alias("__value"))
-    return sizes.join(asked, ["sheet", "place"], "left").withColumn("size", F.greatest("size", F.coalesce("__value", F.col("size")))).drop("__value")
+def size_changes(patches: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """(sheet, more_width, more_height): how much larger a sheet is drawn once text_patches() are made. columns(sheet, col,
+    width, hidden), rows(sheet, row, height, hidden_row): those with a size of their own; hidden ones don't grow."""
+    asked = patches.where(F.col("value").isNotNull())
+    wide = asked.where("kind = 'set_column_width'").groupBy("sheet", F.col("col").cast("int").alias("col")).agg(F.max("value").alias("value"))
+    high = asked.where("kind = 'set_row_height'").groupBy("sheet", F.col("row").cast("long").alias("row")).agg(F.max("value").alias("value"))
+    wide = wide.join(columns.select("sheet", F.col("col").cast("int").alias("col"), F.col("width").alias("now"), F.col("hidden").alias("off")), ["sheet", "col"], "left").withColumn("now", F.coalesce("now", F.lit(COLUMN)))
+    high = high.join(rows.select("sheet", F.col("row").cast("long").alias("row"), F.col("height").alias("now"), F.col("hidden_row").alias("off")), ["sheet", "row"], "left").withColumn("now", F.coalesce("now", F.lit(ROW)))
+    more = F.when(F.coalesce("off", F.lit(False)), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("value") - F.col("now")))
+    both = wide.select("sheet", more.alias("w"), F.lit(0.0).alias("h")).unionByName(high.select("sheet", F.lit(0.0).alias("w"), more.alias("h")))
+    return both.groupBy("sheet").agg(F.sum("w").alias("more_width"), F.sum("h").alias("more_height"))
 
 
-def saved_views(sheets: DataFrame) -> DataFrame:
+def saved_views(sheets: DataFrame, sheet: Column | None = None) -> DataFrame:
     """WL020 over sheets(sheet, state, box: of the visible layout, top, left: the saved first cell, pane: null, frozen or another,
     pane_rows, pane_cols, pane_top, pane_left, zoom: null for 100, width, height: of the visible layout with the sizes that other
     patches ask): visible sheets whose view starts beyond the content or is zoomed more than the content allows. origin and
@@ -337,6 +359,6 @@ def saved_views(sheets: DataFrame) -> DataFrame:
     aim = F.greatest(F.lit(LEAST_ZOOM), best - 5)
     zoom_to = F.when((F.col("pane").isNull() | frozen & ~off) & large & (saved > aim), aim)
     origin = F.when(F.col("pane").isNull() & (off | zoom_to.isNotNull()), address(at_row, at_col))
-    return findings(hit, "WL020", "warning", F.col("sheet"), address(row, col), 0.99, F.col("sheet"), origin.alias("origin"), zoom_to.cast("int").alias("zoom_to"))
+    return findings(hit, "WL020", "warning", named(sheet), address(row, col), 0.99, origin.alias("origin"), zoom_to.cast("int").alias("zoom_to"))
 
 

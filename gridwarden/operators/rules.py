@@ -13,10 +13,14 @@ from gridwarden.functions.width import COLUMN, identifier_width
 
 
 def findings(df: DataFrame, rule: str, severity: Column | str, sheet: Column | str, location: Column, confidence: Column | float, *more: Column, told_by: Column | None = None) -> DataFrame:
-    """Findings of a rule; told_by tells apart several of them at one place."""
+    """Findings of a rule; told_by tells apart several of them at one place. A column sheet of df is kept."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
     confidence = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    return df.select(finding_id(rule, sheet, location, told_by).alias("id"), F.lit(rule).alias("rule_id"), severity.alias("severity"), location.alias("location"), confidence.cast("double").alias("confidence"), *more)
+    return df.select(finding_id(rule, sheet, location, told_by).alias("id"), F.lit(rule).alias("rule_id"), severity.alias("severity"), location.alias("location"), confidence.cast("double").alias("confidence"), *own_sheet(df), *more)
+
+
+def own_sheet(df: DataFrame) -> list[Column]:
+    return [F.col("sheet")] if "sheet" in df.columns else []
 
 
 def consensus(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -42,7 +46,7 @@ def outliers(df: DataFrame, by: list[str], pos: str, value: str, least: int, sha
     return odd.withColumn("__near", near).where(F.coalesce(F.col("__near") > 1, F.lit(True))).drop("__gap", "__near")
 
 
-def formula_outliers(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def formula_outliers(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL002 over cells(band, pos, signature), and boundary if boundary_aggregates() told it: formulas that break a band's
     pattern. Boundary aggregates are left out, and bands with a formula that has no signature."""
     if "boundary" in cells.columns:
@@ -53,17 +57,25 @@ def formula_outliers(cells: DataFrame, sheet: str, location: Column) -> DataFram
     return findings(odd, "WL002", "warning", sheet, location, F.round(F.col("modal_n") / F.col("total"), 6), F.col("modal").alias("expected"))
 
 
-def band_gaps(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
-    """WL003 and WL004 over cells(band, pos, signature, value): the only blank, or the only literal, strictly inside a
+def band_holes(cells: DataFrame) -> DataFrame:
+    """(band, kind, pos, modal) over cells(band, pos, signature, value): the only blank, or the only literal, strictly inside a
     band whose formulas, three or more, agree in at least 0.9. Blanks and literals are counted apart, so a band may have both."""
     ends = Window.partitionBy("band")
     inside = (F.col("pos") > F.min("pos").over(ends)) & (F.col("pos") < F.max("pos").over(ends))
     kind = F.when(F.col("signature").isNotNull(), "formula").when(F.col("value").isNull(), "blank").otherwise("literal")
-    seen = cells.withColumn("inside", inside).withColumn("kind", kind)
+    seen = cells.select("band", "pos", inside.alias("inside"), "signature", kind.alias("kind"))
     agreed = consensus(seen.where("kind = 'formula'").select("band", "signature"), ["band"], "signature").where((F.col("total") >= 3) & (F.col("modal_n") >= 0.9 * F.col("total"))).select("band", "modal").distinct()
     holes = seen.where(F.col("inside") & (F.col("kind") != "formula")).groupBy("band", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).where(F.col("n") == 1)
-    hit = holes.join(agreed, "band")
-    parts = [findings(hit.where(F.col("kind") == k), rule, "error", sheet, location, 0.99, F.col("modal").alias("expected")) for k, rule in (("blank", "WL003"), ("literal", "WL004"))]
+    return holes.join(agreed, "band").select("band", "kind", "pos", "modal")
+
+
+def band_gaps(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
+    """WL003 and WL004 over band_holes(). If sheet is a column, band is a struct with one, and the findings keep it."""
+    hit = band_holes(cells)
+    if not isinstance(sheet, str):
+        hit = hit.withColumn("sheet", F.col("band.sheet"))
+    rule = F.when(F.col("kind") == "blank", "WL003").otherwise("WL004")
+    parts = [findings(hit.where(rule == name), name, "error", sheet, location, 0.99, F.col("modal").alias("expected")) for name in ("WL003", "WL004")]
     return parts[0].unionByName(parts[1])
 
 
@@ -110,36 +122,38 @@ def summary_rows(cells: DataFrame, overrides: bool = True) -> DataFrame:
     return cells.withColumn("__hit", says | reaches).groupBy("sheet", "row").agg(F.bool_or("__hit").alias("hit")).where("hit").drop("hit")
 
 
-def sum_boundaries(cells: DataFrame, sheet: str) -> DataFrame:
+def sum_boundaries(cells: DataFrame, sheet: Column | str) -> DataFrame:
     """WL005 over cells(row, col, letter, num, formula): a SUM of its own column that stops two rows above itself, with
     a number in the row that it leaves out."""
+    by = ["sheet"] if "sheet" in cells.columns else []
     part = lambda i: F.regexp_extract("formula", r"^=SUM\(\$?([A-Z]{1,3})\$?(\d+):\$?([A-Z]{1,3})\$?(\d+)\)$", i)
-    sums = cells.where(F.col("formula").rlike(r"^=SUM\(\$?[A-Z]{1,3}\$?\d+:\$?[A-Z]{1,3}\$?\d+\)$")).select("row", "col", "letter", part(1).alias("c1"), part(2).cast("long").alias("a"), part(3).alias("c2"), part(4).cast("long").alias("b"))
+    sums = cells.where(F.col("formula").rlike(r"^=SUM\(\$?[A-Z]{1,3}\$?\d+:\$?[A-Z]{1,3}\$?\d+\)$")).select(*by, "row", "col", "letter", part(1).alias("c1"), part(2).cast("long").alias("a"), part(3).alias("c2"), part(4).cast("long").alias("b"))
     sums = sums.where((F.col("c1") == F.col("letter")) & (F.col("c2") == F.col("letter")) & (F.col("a") < F.col("b")) & (F.col("b") + 1 == F.col("row") - 1))
-    skipped = cells.where(F.col("num").isNotNull() & F.col("formula").isNull()).select((F.col("row") + 1).alias("row"), "col")
-    return findings(sums.join(skipped, ["row", "col"], "left_semi"), "WL005", "warning", sheet, F.concat("letter", F.col("row").cast("string")), 0.96)
+    skipped = cells.where(F.col("num").isNotNull() & F.col("formula").isNull()).select(*by, (F.col("row") + 1).alias("row"), "col")
+    return findings(sums.join(skipped, [*by, "row", "col"], "left_semi"), "WL005", "warning", sheet, F.concat("letter", F.col("row").cast("string")), 0.96)
 
 
-def numeric_texts(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def numeric_texts(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL006 over cells(grp, num, txt): text that spells a number in a column where numbers are 0.75 or more."""
-    w = cells.groupBy("grp").agg(F.count("num").alias("numbers"), F.count(F.coalesce(F.col("num").cast("string"), F.col("txt"))).alias("filled"))
-    hit = cells.join(w, "grp").where((F.col("numbers") >= 3) & (F.col("numbers") >= 0.75 * F.col("filled")) & F.col("num").isNull() & numeric_text(F.col("txt")).isNotNull())
-    sure = F.when(F.col("numbers") >= 0.85 * F.col("filled"), 0.97).otherwise(0.90)
+    w = cells.groupBy("grp").agg(F.count("num").alias("__numbers"), F.count(F.coalesce(F.col("num").cast("string"), F.col("txt"))).alias("__filled"))
+    hit = cells.join(w, "grp").where((F.col("__numbers") >= 3) & (F.col("__numbers") >= 0.75 * F.col("__filled")) & F.col("num").isNull() & numeric_text(F.col("txt")).isNotNull())
+    sure = F.when(F.col("__numbers") >= 0.85 * F.col("__filled"), 0.97).otherwise(0.90)
     return findings(hit, "WL006", "warning", sheet, location, sure, numeric_text(F.col("txt")).alias("value"))
 
 
-def formula_findings(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def formula_findings(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL001, WL009 and WL010 over cells with features: broken, external, volatile or whole-column references. One pass."""
     f = lambda n: F.col(f"features.{n}")
     loud = f("whole_column") | F.arrays_overlap(f("volatile"), F.array(F.lit("OFFSET"), F.lit("INDIRECT")))
     found = (("WL001", F.size(f("broken")) > 0, F.lit("error")), ("WL009", F.size(f("external")) > 0, F.lit("warning")), ("WL010", (F.size(f("volatile")) > 0) | f("whole_column"), F.when(loud, "warning").otherwise("info")))
     each = F.array(*[F.when(hit, F.struct(F.lit(rule).alias("rule_id"), severity.alias("severity"))) for rule, hit, severity in found])
-    hits = cells.where(F.col("features").isNotNull()).select(location.alias("location"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
-    name = stable_id("finding", F.col("x.rule_id"), F.lit(sheet), F.col("location"), F.lit(None))
-    return hits.select(name.alias("id"), "x.rule_id", "x.severity", "location", F.lit(1.0).alias("confidence"))
+    named = F.lit(sheet).alias("__named")
+    hits = cells.where(F.col("features").isNotNull()).select(named, *own_sheet(cells), location.alias("location"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+    name = stable_id("finding", F.col("x.rule_id"), F.col("__named"), F.col("location"), F.lit(None))
+    return hits.select(name.alias("id"), "x.rule_id", "x.severity", "location", F.lit(1.0).alias("confidence"), *own_sheet(cells))
 
 
-def hidden_data(lines: DataFrame, sheet: str, label: Column | None = None) -> DataFrame:
+def hidden_data(lines: DataFrame, sheet: Column | str, label: Column | None = None) -> DataFrame:
     """WL008 over lines(row, hidden, filled, formulas): hidden rows that hold values; a formula among them is a warning.
     Hidden spans of columns go the same way, with a label that names them."""
     hit = lines.where(F.col("hidden") & (F.col("filled") > 0))
@@ -154,7 +168,7 @@ def hidden_sheets(sheets: DataFrame) -> DataFrame:
     return hit.select(name.alias("id"), F.lit("WL008").alias("rule_id"), F.lit("warning").alias("severity"), "sheet", F.lit(1.0).alias("confidence"))
 
 
-def error_cells(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def error_cells(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL011 over cells(data_type, txt)."""
     return findings(cells.where(is_error(F.col("data_type"), F.col("txt"))), "WL011", "error", sheet, location, 1.0)
 
@@ -163,7 +177,7 @@ def error_cells(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
 RANGE = r"^\$?[A-Za-z]{1,3}\$?[1-9]\d*(:\$?[A-Za-z]{1,3}\$?[1-9]\d*)?$|^\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3}$|^\$?[1-9]\d*:\$?[1-9]\d*$"
 
 
-def broken_names(names: DataFrame, sheets: DataFrame, sheet: str = "names") -> DataFrame:
+def broken_names(names: DataFrame, sheets: DataFrame, sheet: Column | str = "names") -> DataFrame:
     """WL013 over names(name, target, range): a lost reference, a target that is no sheet(target) of the workbook, or a
     range that can't be read. range is null where only the sheet is known."""
     known = sheets.select(F.col("target").alias("__known")).distinct()
@@ -174,25 +188,26 @@ def broken_names(names: DataFrame, sheets: DataFrame, sheet: str = "names") -> D
     return findings(hit, "WL013", "error", sheet, F.col("name"), 1.0, F.col("reason"))
 
 
-def merges_in_data(merges: DataFrame, regions: DataFrame, sheet: str) -> DataFrame:
+def merges_in_data(merges: DataFrame, regions: DataFrame, sheet: Column | str, location: Column | None = None) -> DataFrame:
     """WL014: merges that overlap a region, unless in its first row only. Rows are binned for the join."""
     bins = lambda df: df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("min_row") / 1024), F.floor(F.col("max_row") / 1024))))
     r = bins(regions.select("sheet", *[F.col(c).alias(f"r_{c}") for c in ("min_row", "max_row", "min_col", "max_col")], "min_row", "max_row")).drop("min_row", "max_row")
     both = bins(merges).join(r, ["sheet", "bin"])
     over = (F.col("min_row") <= F.col("r_max_row")) & (F.col("max_row") >= F.col("r_min_row")) & (F.col("min_col") <= F.col("r_max_col")) & (F.col("max_col") >= F.col("r_min_col"))
     head = (F.col("min_row") == F.col("r_min_row")) & (F.col("max_row") == F.col("r_min_row"))
-    hit = both.where(over & ~head).select("min_row", "max_row", "min_col", "max_col").distinct()
-    return findings(hit, "WL014", "warning", sheet, F.concat_ws(":", "min_row", "min_col", "max_row", "max_col"), 0.9)
+    hit = both.where(over & ~head).select(*([] if isinstance(sheet, str) else ["sheet"]), "min_row", "max_row", "min_col", "max_col").distinct()
+    location = location if location is not None else F.concat_ws(":", "min_row", "min_col", "max_row", "max_col")
+    return findings(hit, "WL014", "warning", sheet, location, 0.9)
 
 
-def validation_outliers(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def validation_outliers(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL015 over cells(grp, validation): one cell of a column lacks the validation of 0.75 or more."""
     agreed = consensus(cells, ["grp"], "validation").where((F.col("total") >= 4) & (F.col("modal_n") >= 3) & F.col("modal").isNotNull() & (F.col("modal_n") >= 0.75 * F.col("total")) & (F.col("total") - F.col("modal_n") == 1))
     odd = agreed.where(~F.col("validation").eqNullSafe(F.col("modal")))
     return findings(odd, "WL015", "warning", sheet, location, F.round(F.col("modal_n") / F.col("total"), 6))
 
 
-def long_identifiers(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def long_identifiers(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL019 over cells(num, number_format, header, hidden, width): visible whole numbers of ten digits or more under General
     in any case, below a header of identifiers that isn't one of measures; beyond 15 digits an error. Up to 11 digits a
     column that is wide enough shows them; width is null for the default."""
@@ -205,7 +220,7 @@ def long_identifiers(cells: DataFrame, sheet: str, location: Column) -> DataFram
     return findings(hit, "WL019", F.when(F.length(digits) > 15, "error").otherwise("warning"), sheet, location, 0.99)
 
 
-def style_outliers(cells: DataFrame, sheet: str, location: Column) -> DataFrame:
+def style_outliers(cells: DataFrame, sheet: Column | str, location: Column) -> DataFrame:
     """WL007 over cells(grp, pos, style): styles that differ from 0.8 of a column."""
     odd = outliers(cells, ["grp"], "pos", "style", 5, 0.8)
     return findings(odd, "WL007", "info", sheet, location, F.round(F.col("modal_n") / F.col("total"), 6))

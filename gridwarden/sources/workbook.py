@@ -40,7 +40,7 @@ SHEETS = (
 )
 SIZES = "workbook string, sheet string, axis string, first long, last long, size double, hidden boolean, outlined boolean, style_id int"
 STRUCTURES = "workbook string, sheet string, kind string, name string, detail string, min_row long, max_row long, min_col long, max_col long"
-STYLES = "workbook string, style_id int, number_format string, size double, bold boolean, wrap boolean, align string, filled boolean, left string, right string, top string, bottom string"
+STYLES = "workbook string, style_id int, number_format string, size double, bold boolean, wrap boolean, align string, has_fill boolean, left string, right string, top string, bottom string"
 
 
 class Unsafe(ValueError):

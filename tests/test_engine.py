@@ -229,5 +229,5 @@ def test_workbook_structures(spark, tmp_path):
         ("print_area", "_xlnm.Print_Area", "$A$1:$D$9", 1, 9, 1, 4), ("print_area", "_xlnm.Print_Area", "$F:$G", 1, 1048576, 6, 7), ("table", "T", "A1:B3", 1, 3, 1, 2), ("validation", 'list||"a,b"|', "B1:B9", 1, 9, 2, 2),
     ]
     plain, own = sorted(read_styles(spark, path).collect(), key=lambda r: r["style_id"])
-    assert plain["number_format"] == "General" and not plain["filled"] and plain["left"] is None
-    assert (own["number_format"], own["size"], own["bold"], own["wrap"], own["align"], own["filled"], own["left"], own["top"]) == ("0.000", 14.0, True, True, "right", True, "thin rgb=FF", None)
+    assert plain["number_format"] == "General" and not plain["has_fill"] and plain["left"] is None
+    assert (own["number_format"], own["size"], own["bold"], own["wrap"], own["align"], own["has_fill"], own["left"], own["top"]) == ("0.000", 14.0, True, True, "right", True, "thin rgb=FF", None)
