@@ -1,4 +1,4 @@
-"""Command line: scan, plan, diff and test of one workbook. python -m gridwarden.cli --help"""
+"""Command line: scan, plan, apply, diff and test of one workbook. python -m gridwarden.cli --help"""
 
 from __future__ import annotations
 
@@ -13,25 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwarden import config
-from gridwarden.operators import diff, policy
+from gridwarden.operators import diff, policy, repair
 from gridwarden.plans import checks, report
 from gridwarden.plans.scan import Book, Scan, read, release, scan, sheet_name
+from gridwarden.sources import writer
 from gridwarden.sources.workbook import inspect
 
 #: Exit codes.
-OK, FAILED, USAGE, UNSAFE, INTERNAL = 0, 1, 2, 3, 10
+OK, FAILED, USAGE, UNSAFE, STALE, INVALID, INTERNAL = 0, 1, 2, 3, 4, 5, 10
 
 
 class UnsafeInput(ValueError):
     """The workbook failed a safety check."""
 
 
+class StalePlan(ValueError):
+    """The plan isn't of this workbook as it is now."""
+
+
+class InvalidResult(ValueError):
+    """The patched workbook isn't written: it can't be read, or has grave findings that weren't there."""
+
+
 def session() -> SparkSession:
     return SparkSession.builder.getOrCreate()
 
 
 def inspected(path: str) -> tuple[str, str]:
     """(format, SHA-256) of a workbook that is safe to read."""
+    if Path(path).name.startswith((".", "_")):
+        raise config.UsageError(f"{path}: files named with a dot or underscore first are skipped by the reader")
     try:
         data = Path(path).read_bytes()
     except OSError as e:
@@ -94,6 +105,56 @@ def run_plan(a: argparse.Namespace) -> int:
     return OK
 
 
+def run_apply(a: argparse.Namespace) -> int:
+    plan, (kind, sha) = config.load_plan(a.plan), inspected(a.workbook)
+    out = Path(a.out)
+    if kind != "xlsx" or out.exists() or not (a.safe_only or a.patch_id):
+        raise config.UsageError("apply takes a plain .xlsx, an output that isn't there yet, and --safe-only or --patch-id")
+    if plan["source_sha256"] != sha:
+        raise StalePlan("the workbook has changed since the plan was made")
+    done = scan(session(), a.workbook)
+    fresh = done.book.keep(done.patches())
+    planned = done.book.keep(session().createDataFrame([[p.get(c) for c in fresh.columns] for p in plan["patches"]], fresh.schema))
+    if planned.exceptAll(fresh).limit(1).count():
+        raise StalePlan("the plan holds patches that a scan doesn't propose")
+    chosen = repair.select_safe(planned) if a.safe_only else repair.select_ids(planned, session().createDataFrame([(x,) for x in a.patch_id], "id string"), a.accept_layout_risk)
+    # Layouts and edges of one cell don't exclude each other unless they are of one kind and side.
+    target = F.when(F.col("kind").isin(*repair.LAYOUT), F.concat_ws("|", "cell", "kind", F.get_json_object("after", "$.side"))).otherwise(F.col("cell"))
+    if repair.conflicts(chosen.withColumn("cell", target)).limit(1).count():
+        raise config.UsageError("some of the chosen patches change the same thing")
+    before, patches = done.book.keep(all_findings(done, None)), report.rows(chosen)
+    old = Path(a.workbook).read_bytes()
+    new = writer.patched(Path(a.workbook).name, old, patches)
+    told = verified(before, new, out)
+    told |= {"applied": sorted(p["id"] for p in patches), "parts": writer.changed_parts(old, new)}
+    report.write_whole(Path(f"{a.out}.apply.json"), json.dumps(told, ensure_ascii=False, indent=1))
+    print(f"{len(patches)} patches applied, {len(told['resolved'])} findings resolved; {out}")
+    release(done.book)
+    return OK
+
+
+def verified(before: DataFrame, new: bytes, out: Path) -> dict:
+    """Finding ids resolved, remaining and new in the patched workbook, which is written only if none of the new is grave."""
+    draft = out.with_name(f"draft-{out.name}")  # a name with a dot or underscore first would be skipped by the reader
+    draft.write_bytes(new)
+    try:
+        inspected(str(draft))
+        done = scan(session(), str(draft))
+        after = done.book.keep(done.findings())
+        states = diff.finding_sets(before, after)
+        grave = states.where("state = 'new'").join(after.where(F.col("severity").isin("error", "critical")), "id", "left_semi")
+        if grave.limit(1).count():
+            raise InvalidResult("the patched workbook has new errors")
+        rows = [(r["state"], r["id"]) for r in states.collect()]  # of one workbook
+        release(done.book)
+        draft.replace(out)
+    except UnsafeInput as e:
+        raise InvalidResult(str(e)) from e
+    finally:
+        draft.unlink(missing_ok=True)
+    return {s: sorted(i for state, i in rows if state == s) for s in ("resolved", "remaining", "new")}
+
+
 def run_test(a: argparse.Namespace) -> int:
     inspected(a.workbook)
     cfg = config.load_config(a.config)
@@ -164,19 +225,26 @@ def parser() -> argparse.ArgumentParser:
     t = sub.add_parser("test", help="check the assertions of a configuration")
     t.add_argument("workbook")
     t.add_argument("--json")
+    y = sub.add_parser("apply", help="apply patches of a plan to a new copy")
+    y.add_argument("workbook")
+    y.add_argument("plan")
+    y.add_argument("--out", required=True)
+    y.add_argument("--patch-id", action="append")
+    y.add_argument("--safe-only", action="store_true")
+    y.add_argument("--accept-layout-risk", action="store_true")
     d = sub.add_parser("diff", help="compare two workbooks")
     d.add_argument("before")
     d.add_argument("after")
     d.add_argument("--out", required=True)
-    for x, run in ((s, run_scan), (n, run_plan), (t, run_test), (d, run_diff)):
+    for x, run in ((s, run_scan), (n, run_plan), (t, run_test), (d, run_diff), (y, run_apply)):
         x.set_defaults(run=run)
-        if x is not d:
+        if x not in (d, y):
             x.add_argument("--config", required=x is t)
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Runs a command. 0: done; 1: findings or failed assertions; 2: usage; 3: an unsafe workbook; 10: anything else."""
+    """Runs a command. 0: done; 1: findings or failed assertions; 2: usage; 3: an unsafe workbook; 4: a stale plan; 5: a patched workbook that fails its checks; 10: anything else."""
     try:
         a = parser().parse_args(argv)
     except SystemExit as e:
@@ -189,6 +257,12 @@ def main(argv: list[str] | None = None) -> int:
     except UnsafeInput as e:
         print(e, file=sys.stderr)
         return UNSAFE
+    except StalePlan as e:
+        print(e, file=sys.stderr)
+        return STALE
+    except (InvalidResult, writer.PatchError) as e:
+        print(e, file=sys.stderr)
+        return INVALID
     except Exception as e:  # noqa: BLE001  (the exit code tells it from the others)
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return INTERNAL
